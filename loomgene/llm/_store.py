@@ -124,20 +124,42 @@ def answer(asked: DataFrame, reply) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, ROUTED)
 
 
-def with_returns(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+def answer_and_tell(asked: DataFrame, reply) -> DataFrame:
+    """As ``answer``; ``reply`` also gives what the bucket has to tell all blocks, as (step, payload) pairs, filed under block -1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        back, step, told = reply(table.column("block").to_pylist(), table.column("payload").to_pylist())
+        bucket = table.column("bucket")[0].as_py()
+        rows = [(b, bucket, step, p) for b, p in zip(table.column("block").to_pylist(), back) if p is not None]
+        rows += [(-1, bucket, s, p) for s, p in told]
+        return pa.Table.from_batches([routed_rows(rows)]) if rows else pa.table({f: pa.array([], t) for f, t in (("block", pa.int64()), ("bucket", pa.int32()), ("step", pa.int32()), ("payload", pa.binary()))})
+
+    return asked.groupBy("bucket").applyInArrow(run, ROUTED)
+
+
+def with_told(blocks: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Blocks with what the buckets told: one row of some bytes per bucket, sent to all by a join on a constant."""
+    told = rows.filter("block = -1").agg(F.collect_list(F.struct("step", "payload")).alias(name)).withColumn("__one", F.lit(1))
+    return blocks.withColumn("__one", F.lit(1)).join(F.broadcast(told), "__one", "left").drop("__one")
+
+
+def with_returns(blocks: DataFrame, rows: DataFrame, name: str = "returns") -> DataFrame:
     """Blocks with all answers to them; a block gets at most one row per bucket and step."""
-    gathered = rows.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", F.col("payload").alias("back"))).alias("returns"))
+    gathered = rows.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("step", "bucket", F.col("payload").alias("back"))).alias(name))
     return blocks.join(gathered, "block", "left")
 
 
 def _opened(batch: pa.RecordBatch):
-    """(block, payload, step -> bucket -> answer)"""
-    has = "returns" in batch.schema.names
-    returns = batch.column("returns") if has else [None] * batch.num_rows
-    for block, payload, got in zip(batch.column("block").to_pylist(), batch.column("payload"), returns):
-        steps: dict[int, dict[int, bytes]] = {}
-        for r in (got.as_py() or []) if has else []:
-            steps.setdefault(r["step"], {})[r["bucket"]] = r["back"]
+    """(block, payload, step -> bucket -> answer); under -step the list of what buckets told there."""
+    names = [x for x in batch.schema.names if x not in ("block", "payload")]
+    for i, (block, payload) in enumerate(zip(batch.column("block").to_pylist(), batch.column("payload"))):
+        steps: dict = {}
+        for name in names:
+            for r in batch.column(name)[i].as_py() or []:
+                if "back" in r:
+                    steps.setdefault(r["step"], {})[r["bucket"]] = r["back"]
+                else:
+                    steps.setdefault(-r["step"], []).append(r["payload"])
         yield block, payload, steps
 
 
