@@ -1,4 +1,6 @@
 """Registered queries of the analytics operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomgene.plans import coverage
+
+QUERIES = {**coverage.QUERIES}
+ORACLE_SQL = {**coverage.ORACLE_SQL}
