@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from loomgene.llm._graph import components
 from loomgene.llm._store import answer, ask, finish, materialize, shuffle_partitions, to_blocks, with_returns
-from loomgene.llm._words import Routes, expand, mix, narrow, sequences, slices, squeeze
+from loomgene.llm._words import Routes, expand, mix, narrow, sequences, slices, spread, squeeze
 
 SHINGLE = 5
 LEAST_PARTS = 96
+SKETCH_BITS = 1024
 SETS, PARTS = 1, 2
 VERIFY_GROUP = 64
 COUNT_CAP = 255  # counts above order alike; the order of parts stays one and the same everywhere
@@ -77,6 +78,15 @@ class Sets:
             out.append(mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)))
         return out[0], out[1]
 
+    def bits(self, rows: np.ndarray) -> np.ndarray:
+        """Sketches of SKETCH_BITS bits: each shingle flips one."""
+        size = self.size[rows]
+        owner = np.repeat(np.arange(len(rows)), size)
+        value = self.shingles[spread(self.first[rows], size)]
+        bit = (mix(value ^ np.uint64(0x1D8E4E27C47D124F)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        flips = np.bincount(owner * SKETCH_BITS + bit, minlength=len(rows) * SKETCH_BITS) & 1
+        return np.packbits(flips.astype(np.uint8).reshape(len(rows), SKETCH_BITS), axis=1)
+
     def of(self, i: int) -> np.ndarray:
         return self.shingles[self.first[i] : self.first[i + 1]]
 
@@ -114,19 +124,22 @@ class Sketches:
     def name(self, owner: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return mix((self.band[owner].astype(np.uint64) << np.uint64(32)) + cell.astype(np.uint64))
 
-    def offered(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, key) of the parts that each document offers and that another document shares."""
+    def offered(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, key, rank) of the parts that each document offers and that another document shares."""
         order = np.lexsort((self.key, counts, self.owner))
         held = np.bincount(self.owner, minlength=len(self.row))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
         chosen = order[(rank < self.offers[self.owner[order]]) & (counts[order] > 1)]
-        owner, key = [self.owner[chosen]], [self.key[chosen]]
+        place = np.empty(len(order), np.int64)
+        place[order] = rank
+        owner, key, ranks = [self.owner[chosen]], [self.key[chosen]], [place[chosen]]
         # With fewer parts than it must offer, a set goes on with empty ones, in their order.
         for i in np.flatnonzero(held < self.offers):
             empty = np.setdiff1d(np.arange(self.parts[i]), self.cell[self.owner == i])[: self.offers[i] - held[i]]
             owner.append(np.full(len(empty), i))
             key.append(self.name(np.full(len(empty), i), empty))
-        return np.concatenate(owner), np.concatenate(key)
+            ranks.append(held[i] + np.arange(len(empty)))
+        return np.concatenate(owner), np.concatenate(key), np.concatenate(ranks)
 
 
 def _doc_ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +178,7 @@ def _low(keys: np.ndarray) -> np.ndarray:
 
 
 def shared_parts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, class_id, and the text of those that offer parts) and rows of offered parts (bucket, payload)."""
+    """Rows of documents (doc_id, n_shingles, class_id, and text and bit sketch of those that offer parts) and rows of offered parts (bucket, payload)."""
     n = buckets or shuffle_partitions(docs.sparkSession)
     blocks = to_blocks(docs.select("doc_id", "text"))
 
@@ -203,25 +216,31 @@ def shared_parts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         least, own = classes(sets, rows, returns)
         sketches = Sketches(sets, own)
         counts = Routes(sketches.key, n).back({b: expand(v)[0] for b, v in returns.get(PARTS, {}).items()}, np.uint8)
-        owner, key = sketches.offered(counts)
+        owner, key, rank = sketches.offered(counts)
         row = sketches.row[owner]
         offering = np.zeros(rows.num_rows, bool)
         offering[row] = True
         m = rows.num_rows
-        posts = [(bucket, squeeze(_low(key[mine]), ids[row[mine]], narrow(sets.size[row[mine]]))) for bucket, mine in Routes(key, n)]
+        posts = [(bucket, squeeze(_low(key[mine]), ids[row[mine]], narrow(sets.size[row[mine]]), narrow(rank[mine]))) for bucket, mine in Routes(key, n)]
         k = len(posts)
         text = rows.column("text").cast(pa.string())
+        sketch = np.full(m, None)
+        picked = np.flatnonzero(offering)
+        for a in range(0, len(picked), 256):
+            part = picked[a : a + 256]
+            sketch[part] = [x.tobytes() for x in sets.bits(part)]
         columns = [
             pa.concat_arrays([rows.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
             pa.concat_arrays([pa.array(sets.size, pa.int64()), pa.nulls(k, pa.int64())]),
             pa.concat_arrays([pa.array(least, pa.int64(), mask=~real), pa.nulls(k, pa.int64())]),
             pa.concat_arrays([pa.compute.if_else(pa.array(offering), text, pa.scalar(None, pa.string())), pa.nulls(k, pa.string())]),
+            pa.array([*sketch, *[None] * k], pa.binary()),
             pa.array([None] * m + [b for b, _ in posts], pa.int32()),
             pa.array([None] * m + [p for _, p in posts], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_id", "text", "bucket", "payload"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_id", "text", "sketch", "bucket", "payload"])
 
-    return finish(with_returns(told, counted, "parts"), settle, "doc_id long, n_shingles long, class_id long, text string, bucket int, payload binary")
+    return finish(with_returns(told, counted, "parts"), settle, "doc_id long, n_shingles long, class_id long, text string, sketch binary, bucket int, payload binary")
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,51 +252,59 @@ def star_pairs(posts: DataFrame) -> DataFrame:
 
     def pair(table: pa.Table) -> pa.Table:
         sent = [expand(p) for p in table.column("payload").to_pylist()]
-        key, ids, size = (np.concatenate([s[i] for s in sent]) for i in range(3))
+        key, ids, size, rank = (np.concatenate([s[i] for s in sent]) for i in range(4))
         order = np.lexsort((ids, key))
-        key, ids, size = key[order], ids[order], size[order].astype(np.int64)
+        key, ids, size, rank = key[order], ids[order], size[order].astype(np.int64), rank[order].astype(np.int64)
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lead = np.repeat(head, np.diff(np.r_[head, len(key)]))
-        keep = (ids[lead] != ids) & _fits(size[lead], size)
+        keep = (ids[lead] != ids) & _fits(size[lead], size) & (np.maximum(rank[lead], rank) <= (size[lead] + size) // 7)
         pairs = np.unique(np.stack([ids[lead][keep], ids[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
     return posts.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
-def open_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that offer one part, of sizes that could be linked."""
+def open_pairs(posts: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different components that offer one part, and that could be linked: by their sizes, by the part's rank
+    among their parts (with D differences a common part is among the first D + 1 of both), and by their bit sketches."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
-                key, ids, size = expand(payload)
-                yield pa.RecordBatch.from_arrays([pa.array((np.uint64(bucket) << np.uint64(32)).astype(np.int64) + key.astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(size.astype(np.int64))], names=["key", "id", "n"])
+                key, ids, size, rank = (x.astype(np.int64) for x in expand(payload))
+                yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + key), pa.array(ids), pa.array(size), pa.array(rank)], names=["key", "id", "n", "rank"])
 
-    rows = posts.select("bucket", "payload").mapInArrow(unpack, "key long, id long, n long")
+    slots = 8 * shuffle_partitions(posts.sparkSession)
+    rows = posts.select("bucket", "payload").mapInArrow(unpack, "key long, id long, n long, rank long")
     named = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = named.join(spans, "key").withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(8 * shuffle_partitions(posts.sparkSession))))
+    wide = named.join(spans, "key", "left_semi").join(sketches.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
 
     def cross(table: pa.Table) -> pa.Table:
-        key, ids, size, label = (np.asarray(table.column(c)) for c in ("key", "id", "n", "component"))
+        key, ids, size, rank, label = (np.asarray(table.column(c)) for c in ("key", "id", "n", "rank", "component"))
         order = np.lexsort((ids, size, key))
-        key, ids, size, label = key[order], ids[order], size[order], label[order]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)[order]
+        key, ids, size, rank, label = key[order], ids[order], size[order], rank[order], label[order]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        pairs = []
-        for a, e in zip(head, np.r_[head[1:], len(key)]):
-            upto = np.searchsorted(size[a:e], 4 * size[a:e] // 3, "right") + a
-            for i in range(a, e - 1):
-                j = np.arange(i + 1, upto[i - a])
-                j = j[(label[j] != label[i]) & (ids[j] != ids[i])]
-                if len(j):
-                    pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-            if sum(p.shape[1] for p in pairs) > 1_000_000:
-                pairs = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
+        end = np.repeat(np.r_[head[1:], len(key)], np.diff(np.r_[head, len(key)]))
+        pairs, held = [], 0
+        for i in range(len(key) - 1):
+            # Sizes rise within a group: partners stand behind, up to a third larger.
+            j = np.arange(i + 1, i + 1 + np.searchsorted(size[i + 1 : end[i]], 4 * size[i] // 3, "right"))
+            most = (size[i] + size[j]) // 7
+            j, most = (x[(label[j] != label[i]) & (np.maximum(rank[i], rank[j]) <= most)] for x in (j, most))
+            if len(j):
+                j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most]
+            if len(j):
+                pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+                held += len(j)
+                if held > 1_000_000:
+                    pairs = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
+                    held = 0
         out = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
         return pa.table({"a": out[0].astype(np.int64), "b": out[1].astype(np.int64)})
 
-    return open_rows.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
+    return wide.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -308,11 +335,12 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     table = materialize(shared_parts(docs, buckets), "parts")
     posts = table.filter("payload IS NOT NULL").select("bucket", "payload")
-    texts = table.filter("text IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
+    offering = table.filter("text IS NOT NULL").dropDuplicates(["doc_id"])
+    texts, sketches = offering.select("doc_id", "text"), offering.select("doc_id", "sketch")
     first = materialize(star_pairs(posts), "pairs")
     links = materialize(verify(first, texts), "links")
     labels = components(links)
-    more = open_pairs(posts, labels).join(first, ["a", "b"], "left_anti")
+    more = open_pairs(posts, labels, sketches).join(first, ["a", "b"], "left_anti")
     # Rows that share an id are one node, whatever their sets.
     same = table.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.unionByName(verify(more, texts)).unionByName(same))
