@@ -52,34 +52,61 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
+def _texts(batch: pa.RecordBatch, *places: int, rows: int = 256) -> Iterator[tuple]:
+    """Rows of a batch as Python values, a few at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield from zip(*(batch.column(i).slice(a, rows).to_pylist() for i in places))
+
+
+def _document_lines(text: str | None) -> set[str]:
+    """The masked lines of a text that can be dropped."""
+    return {x for x in map(masked, text.split("\n")) if x.count(" ") >= MIN_TOKENS - 1} if text else set()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, line, leaf, deep, masked): each masked line of a document once."""
+    """(doc, line): each masked line of a document once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, _digest(x)) for doc, text in _texts(batch, 0, 1) for x in _document_lines(text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "line"])
+
+    return _keyed(docs).mapInArrow(run, "doc long, line long")
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(leaf, deep, line, masked, docs): each masked line of the corpus, with its number of documents.
+
+    A document that comes as several rows counts for each here, which only lets more leaves through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for plain in {masked(x) for x in text.split("\n")} if text else ():
-                    if plain.count(" ") >= MIN_TOKENS - 1:
-                        tokens = plain.split(" ", DEEP + 1)
-                        count = plain.count(" ") + 1
-                        head = [str(count), *tokens[:DEEP]]
-                        rows.append((doc, _digest(plain), _digest("\x1f".join(head[: LEADING + 1])), _digest("\x1f".join(head)), plain))
-                        size += len(plain)
-                if size > 4 << 20:
+            for (text,) in _texts(batch, 1):
+                for plain in _document_lines(text):
+                    head = [str(plain.count(" ")), *plain.split(" ", DEEP)[:DEEP]]
+                    rows.append((_digest(plain), _digest("\x1f".join(head[: LEADING + 1])), _digest("\x1f".join(head)), plain))
+                    size += len(plain)
+                if size > 1 << 20:
                     yield _lines(rows)
                     rows, size = [], 0
             if rows:
                 yield _lines(rows)
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc long, line long, leaf long, deep long, masked string")
+    found = _keyed(docs).mapInArrow(run, "line long, leaf long, deep long, masked string")
+    return found.groupBy("leaf", "deep", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
 
 
 def _lines(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc", "line", "leaf", "deep", "masked"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["line", "leaf", "deep", "masked"])
 
 
 def leaf_templates(lines: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
@@ -134,20 +161,12 @@ def templates_of(lines: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, line): lines to drop."""
-    found = occurrences(docs)
-    lines = materialize(_distinct_lines(found), "lines")
-    named = materialize(templates_of(lines), "templates")
-    uses = found.select("doc", "line").join(named, "line").select("doc", "line", "template")
-    uses = materialize(uses, "uses")
+    named = materialize(templates_of(materialize(distinct_lines(docs), "lines")), "templates")
+    uses = materialize(occurrences(docs).join(named, "line").select("doc", "line", "template"), "uses")
     recurring = uses.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter(F.col("n") >= MIN_DOCS)
     return uses.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("doc", "line").distinct()
 
 
-def _distinct_lines(found: DataFrame) -> DataFrame:
-    # Counted per occurrence row: a document that comes as several rows counts its lines again here, which only lets more leaves through.
-    return found.groupBy("leaf", "deep", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
-
-
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with n_lines, n_dropped and kept, the text without its recurring lines."""
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped", "kept") if c in docs.columns])
@@ -160,7 +179,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, dropped, kept = [], [], []
-            for text, gone in zip(batch.column(place).to_pylist(), batch.column("__gone").to_pylist()):
+            for text, gone in _texts(batch, place, len(names)):
                 lines = text.split("\n") if text is not None else []
                 left = lines
                 if gone:
