@@ -1,6 +1,6 @@
 """Registered queries of the analytics operators, and their SQL."""
 
-from loomgene.plans import coverage, genotypes
+from loomgene.plans import coverage, genotypes, records
 
-QUERIES = {**coverage.QUERIES, **genotypes.QUERIES}
-ORACLE_SQL = {**coverage.ORACLE_SQL, **genotypes.ORACLE_SQL}
+QUERIES = {**coverage.QUERIES, **genotypes.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**coverage.ORACLE_SQL, **genotypes.ORACLE_SQL, **records.ORACLE_SQL}
