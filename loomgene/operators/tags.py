@@ -1,10 +1,15 @@
-"""Exact tag placement by seeds, placement decisions, contiguous groups."""
+"""Exact tag placement, placement decisions, contiguous groups."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SEED = 24
 CAP, GAP, FLOOR = 10, 6, -30
@@ -21,24 +26,52 @@ def select_seed(tag: Column, k: int = SEED) -> Column:
     return F.when(last >= 0, F.struct(best["seed"].alias("seed"), (-best["place"]).alias("offset")))
 
 
-def exact_hits(tags: DataFrame, contigs: DataFrame, k: int = SEED, chunk: int = 4096) -> DataFrame:
-    """(tag_id, contig_id, start, strand): all places of whole tags, on both strands, by an equi-join on seeds.
+def exact_hits(tags: DataFrame, contigs: DataFrame, k: int = SEED, block_bytes: int = 4 << 20) -> DataFrame:
+    """(tag_id, contig_id, start, strand): all places of whole tags of at least k letters, on both strands.
 
-    Contigs are cut into chunks that overlap by the longest tag; each chunk keeps seeds
-    that start in it alone, so a place is found once. Only seeds that some tag has are
-    kept before the join, by Spark's runtime filter or broadcast; verification compares
-    the whole tag.
+    Tags go to the scan of the contigs as one automaton for each block of bounded size, so contigs aren't
+    shuffled and each letter is read once. Contigs may be chunks (column chunk_start) that overlap by the
+    longest tag less one letter; a place found twice counts once.
     """
+    spark = tags.sparkSession
     flip = F.reverse(F.translate("tag", "ACGTacgt", "TGCAtgca"))
-    both = tags.select("tag_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("tag").alias("tag")), F.struct(F.lit("-").alias("strand"), flip.alias("tag")))).alias("x")).select("tag_id", "x.*")
-    both = both.filter(F.length("tag") >= k).withColumn("s", select_seed(F.col("tag"), k)).select("tag_id", "strand", "tag", "s.seed", "s.offset")
-    n = F.length("bases")
-    pieces = contigs.select("contig_id", "bases", F.explode(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)), F.lit(chunk))).alias("from"))
-    part = pieces.select("contig_id", "from", F.substr("bases", F.col("from") + 1, F.lit(chunk + k - 1)).alias("part"))
-    starts = F.sequence(F.lit(0), F.least(F.lit(chunk), F.length("part") - k + 1) - 1)
-    seeds = part.filter(F.length("part") >= k).select("contig_id", "from", "part", F.explode(starts).alias("at")).select("contig_id", "from", "at", F.substr("part", F.col("at") + 1, F.lit(k)).alias("seed"))
-    found = seeds.join(both, "seed").withColumn("start", F.col("from") + F.col("at") - F.col("offset")).filter("start >= 0")
-    return found.select("tag_id", "strand", "tag", "contig_id", "start").join(contigs, "contig_id").filter(F.substr("bases", F.col("start") + 1, F.length("tag")) == F.col("tag")).select("tag_id", "contig_id", F.col("start").cast("long").alias("start"), "strand")
+    usable = tags.filter(F.length("tag") >= k).select("tag_id", "tag", flip.alias("flipped"))
+    size = usable.agg(F.sum(F.octet_length("tag"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    chunked = "chunk_start" in contigs.columns
+    rows = contigs.select("contig_id", (F.col("chunk_start") if chunked else F.lit(0)).cast("long").alias("chunk_start"), "bases").filter("bases IS NOT NULL")
+    schema = T.StructType([tags.schema["tag_id"], contigs.schema["contig_id"], T.StructField("start", T.LongType()), T.StructField("strand", T.StringType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    names = schema.names
+    found = None
+    for b in range(blocks):
+        words: dict[str, list] = {}
+        for r in usable.filter(F.pmod(F.xxhash64("tag_id"), F.lit(blocks)) == b).toLocalIterator():
+            words.setdefault(r["tag"], []).append((r["tag_id"], "+"))
+            words.setdefault(r["flipped"], []).append((r["tag_id"], "-"))
+        sent = spark.sparkContext.broadcast(words)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            matcher = ahocorasick.Automaton()
+            for word, owners in sent.value.items():
+                matcher.add_word(word, (len(word), owners))
+            if not len(matcher):
+                return
+            matcher.make_automaton()
+            for batch in batches:
+                out = []
+                for contig, base, text in zip(*(batch.column(i) for i in range(3))):
+                    contig, base = contig.as_py(), base.as_py()
+                    for end, (length, owners) in matcher.iter(text.as_py()):
+                        out += [(tag, contig, base + end - length + 1, strand) for tag, strand in owners]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        part = rows.mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct() if chunked else found
 
 
 def mapping_summary(tags: DataFrame, hits: DataFrame, eligible: Column) -> DataFrame:
