@@ -6,6 +6,7 @@ in ``spark.checkpoint.dir``; no operator writes to a machine-local folder.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,25 @@ BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, payload binary"
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large object that a Python worker keeps from task to task; another key frees it first."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay, and there are several beside each executor's heap."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -109,6 +129,7 @@ def ask(blocks: DataFrame, make) -> DataFrame:
             for block, payload, returns in _opened(batch):
                 if rows := [(block, *row) for row in make(block, decode_block(payload), returns)]:
                     yield routed_rows(rows)
+        release()
 
     return blocks.mapInArrow(run, ROUTED)
 
@@ -170,5 +191,6 @@ def finish(blocks: DataFrame, make, schema) -> DataFrame:
         for batch in batches:
             for block, payload, returns in _opened(batch):
                 yield make(block, decode_block(payload), returns)
+        release()
 
     return blocks.mapInArrow(run, schema)

@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import decode_block, gather_returns, shuffle_partitions, to_blocks
+from loomgene.llm._store import decode_block, gather_returns, held, release, shuffle_partitions, to_blocks
 from loomgene.llm._words import expand, narrow, spread, squeeze
 
 #: Fixed value: the word pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LOADED: dict = {}
 
 
 class Vocabulary:
@@ -81,17 +80,25 @@ class Vocabulary:
 
 
 def _vocabulary(text: str) -> Vocabulary:
-    key = hash(text)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(text)
-    return _LOADED[key]
+    return held(("vocabulary", hash(text)), lambda: Vocabulary(text))
 
 
-def _distinct(vocabulary: Vocabulary, texts: list) -> tuple[dict[str, int], list[list[str]]]:
-    """Distinct words of a block, numbered in order of their first place; and the words of each text."""
-    words = [vocabulary.split(t) if t else [] for t in texts]
-    return {w: i for i, w in enumerate(dict.fromkeys(w for doc in words for w in doc))}, words
+class Numbers(dict):
+    """Words numbered in order of their first place."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _distinct(vocabulary: Vocabulary, texts) -> tuple[Numbers, list[np.ndarray]]:
+    """Distinct words of a block; and of each text the numbers of its words."""
+    distinct = Numbers()
+    places = []
+    for text in texts:
+        words = vocabulary.split(text.as_py()) if text.is_valid else []
+        places.append(np.fromiter(map(distinct.__getitem__, words), np.int32, len(words)))
+    return distinct, places
 
 
 def _buckets(distinct: dict[str, int], n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -114,7 +121,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
         vocabulary = _vocabulary(sent.value)
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                distinct, _ = _distinct(vocabulary, decode_block(payload).column("text").to_pylist())
+                distinct, _ = _distinct(vocabulary, decode_block(payload).column("text"))
                 raw, bucket, order = _buckets(distinct, n)
                 first = np.searchsorted(bucket[order], np.arange(n + 1))
                 rows = []
@@ -123,6 +130,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
                     rows.append((block, int(b), squeeze(narrow(np.array([len(w) for w in mine])), np.frombuffer(b"".join(mine), np.uint8))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "payload"])
+        release()
 
     def encode(table: pa.Table) -> pa.Table:
         vocabulary = _vocabulary(sent.value)
@@ -140,7 +148,10 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
         starts = np.cumsum(lengths) - lengths
         flat = np.fromiter((x for i in ids for x in i), np.int64, int(lengths.sum()))
         back = [squeeze(narrow(lengths[w]), narrow(flat[spread(starts[w], lengths[w])])) for w in wanted]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(back, pa.binary())})
+        out = pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(back, pa.binary())})
+        del known, words, ids, flat
+        release()
+        return out
 
     asked = blocks.mapInArrow(ask, "block long, bucket int, payload binary")
     returned = gather_returns(asked.groupBy("bucket").applyInArrow(encode, "block long, bucket int, payload binary"))
@@ -150,7 +161,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
         for batch in batches:
             for payload, returns in zip(batch.column("payload"), batch.column("returns")):
                 rows = decode_block(payload)
-                distinct, words = _distinct(vocabulary, rows.column("text").to_pylist())
+                distinct, places = _distinct(vocabulary, rows.column("text"))
                 _, bucket, order = _buckets(distinct, n)
                 first = np.searchsorted(bucket[order], np.arange(n + 1))
                 lengths = np.zeros(len(distinct), np.int64)
@@ -162,13 +173,14 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
                 for b, (_, ids) in got.items():
                     mine = order[first[b] : first[b + 1]]
                     flat[spread(starts[mine], lengths[mine])] = ids
-                place = np.fromiter((distinct[w] for doc in words for w in doc), np.int64, sum(map(len, words)))
-                ends = np.r_[0, np.cumsum([len(doc) for doc in words])].astype(np.int64)
+                place = np.concatenate(places)
+                ends = np.r_[0, np.cumsum([len(doc) for doc in places])].astype(np.int64)
                 ids = flat[spread(starts[place], lengths[place])]
                 bounds = np.r_[0, np.cumsum(lengths[place])][ends]
                 packed = ids.astype("<u4").tobytes()
                 out = [packed[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary()), pa.array(vocabulary.decode(ids, bounds), pa.string())], names=[*rows.schema.names, "ids", "decoded"])
+        release()
 
     schema = StructType(list(docs.schema.fields)).add("ids", "binary").add("decoded", "string")
     return blocks.join(returned, "block", "left").mapInArrow(assemble, schema)

@@ -29,14 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomgene.llm._store import held
 from loomgene.llm._words import LOWER, buffers
 
 SAMPLE_DOCS = 80
 SAMPLE_CHARS = 300
 MAX_LANGUAGES = 200
 CHUNK = 256
-SLICE = 2 << 20
-_MODELS: dict = {}
+SLICE = 1 << 20
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -197,11 +197,9 @@ def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> Da
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = sent.value
         key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Parser(samples)
+        parser = held(("parser", key), lambda: Parser(samples))
         for batch in batches:
-            langs, scores = _MODELS[key].predict(batch.column(place))
+            langs, scores = parser.predict(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
