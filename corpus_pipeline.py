@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from loomgene.llm import bpe_table, edit_leaks, line_templates, parity_join, parse_language
 from loomgene.llm._store import materialize
 
-#: A document whose text parses better as another language than its label is kept if the text is this close to a draw.
-DOUBT = 0.05
+#: A document whose text parses better as another language than its label goes only if it needs less than this share fewer phrases there:
+#: texts in two languages, or with a long foreign passage, stay.
+DOUBT = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

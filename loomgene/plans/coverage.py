@@ -218,7 +218,7 @@ SELECT resource, arm, chromosome, count(record_key) AS n_records, count(DISTINCT
 picked AS (SELECT * FROM (SELECT p.*, rep, quota, row_number() OVER (PARTITION BY rep, p.resource, p.arm, p.chromosome ORDER BY sha256(concat_ws('|', 1729, concat_ws(':', p.resource, p.arm, p.chromosome), rep, pos)), pos) AS n FROM points p JOIN quotas q ON p.arm = q.arm AND p.chromosome = q.chromosome, range(3) t(rep)) WHERE n <= quota),
 dims AS (SELECT DISTINCT resource, arm, rep FROM picked), q AS (SELECT * FROM intervals, dims),
 lft AS (SELECT q.*, p.pos AS lp FROM q ASOF LEFT JOIN picked p ON q.resource = p.resource AND q.arm = p.arm AND q.rep = p.rep AND q.chromosome = p.chromosome AND q."start" > p.pos),
-dist AS (SELECT l.* EXCLUDE (lp), least(l."start" - l.lp, greatest(p.pos - l."end", 0)) AS distance FROM lft l ASOF LEFT JOIN picked p ON l.resource = p.resource AND l.arm = p.arm AND l.rep = p.rep AND l.chromosome = p.chromosome AND l."start" <= p.pos),
+dist AS (SELECT l.* EXCLUDE (lp), least(l."start" - l.lp, CASE WHEN p.pos IS NOT NULL THEN greatest(p.pos - l."end", 0) END) AS distance FROM lft l ASOF LEFT JOIN picked p ON l.resource = p.resource AND l.arm = p.arm AND l.rep = p.rep AND l.chromosome = p.chromosome AND l."start" <= p.pos),
 n AS (SELECT resource, arm, query_set, rep, CAST(w AS BIGINT) AS flank_bp, count(*) FILTER (distance <= w) AS value FROM dist, (VALUES {_F}) f(w) GROUP BY ALL)
 SELECT resource, arm, query_set, flank_bp, {_SPREAD} FROM n GROUP BY ALL""",
     "gene_density_range": f"""WITH {INTERVALS}, m AS (SELECT query_id, chromosome, ("start" + "end") // 2 AS mid FROM intervals)

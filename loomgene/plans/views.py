@@ -71,7 +71,7 @@ POINTS = "points AS (SELECT DISTINCT resource, arm, chromosome, pos FROM arm_row
 DISTANCES = """dims AS (SELECT DISTINCT resource, arm FROM points),
 q AS (SELECT * FROM intervals, dims),
 lft AS (SELECT q.*, p.pos AS lp FROM q ASOF LEFT JOIN points p ON q.resource = p.resource AND q.arm = p.arm AND q.chromosome = p.chromosome AND q."start" > p.pos),
-dist AS (SELECT l.* EXCLUDE (lp), least(l."start" - l.lp, greatest(p.pos - l."end", 0)) AS distance
+dist AS (SELECT l.* EXCLUDE (lp), least(l."start" - l.lp, CASE WHEN p.pos IS NOT NULL THEN greatest(p.pos - l."end", 0) END) AS distance
  FROM lft l ASOF LEFT JOIN points p ON l.resource = p.resource AND l.arm = p.arm AND l.chromosome = p.chromosome AND l."start" <= p.pos)"""
 
 COVERAGE = f"WITH {LOCI}, {ARM_ROWS}, {INTERVALS}, {POINTS}, {DISTANCES}"
