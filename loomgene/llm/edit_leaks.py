@@ -48,14 +48,15 @@ def repetitions(recall: float = TARGET_RECALL, max_edit: float = MAX_EDIT, sampl
 
 def cgk_keys(words: np.ndarray, start: np.ndarray, length: np.ndarray, repeats: int, sampled: int = SAMPLED, seed: int = 71) -> np.ndarray:
     """(repeats, windows) keys. The walk r reads a word per step and moves on by a random bit of that word and step; samples at fixed steps make the key."""
-    rng = np.random.default_rng(seed)
     keys = np.empty((repeats, len(start)), np.uint64)
     end = start + length
     held = np.r_[words, np.uint64(0)]
     last = len(held) - 1
     for r in range(repeats):
-        shares = rng.random(sampled)
-        odd = rng.integers(0, 2**63, 3 * int(length.max(initial=1)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # What a walk does must not depend on the other windows of a call: its numbers are hashes of repetition and step.
+        name = np.uint64((seed * 1000 + r) << 32)
+        shares = (mix(np.arange(sampled, dtype=np.uint64) + name) >> np.uint64(11)).astype(float) / 2**53
+        odd = mix(np.arange(2 * int(length.max(initial=1)), dtype=np.uint64) + name + np.uint64(1 << 31)) | np.uint64(1)
         at = start.copy()
         key = np.full(len(start), r + 1, np.uint64)
         # The walk of a window of n words has 2n steps; samples fall on the same steps for windows of one size.
