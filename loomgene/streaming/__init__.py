@@ -1,0 +1 @@
+"""No operator here is streaming-only; batch operators take any DataFrame."""
