@@ -30,16 +30,29 @@ def held(key, make):
         _HELD.clear()
         release()
         _HELD[key] = make()
+        release()
     return _HELD[key]
 
 
 def release() -> None:
     """Give freed memory back to the system: workers stay, and there are several beside each executor's heap."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+class Tidy:
+    """A function over batches that leaves no freed memory behind in its worker."""
+
+    def __init__(self, run):
+        self.run = run
+
+    def __call__(self, batches):
+        yield from self.run(batches)
+        release()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -106,7 +119,7 @@ def to_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
                 yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([encode_block(batch.slice(lo, hi - lo))], pa.binary())], names=["block", "payload"])
                 k += 1
 
-    return docs.mapInArrow(pack, BLOCK_SCHEMA).repartition(shuffle_partitions(docs.sparkSession), "block")
+    return docs.mapInArrow(Tidy(pack), BLOCK_SCHEMA).repartition(shuffle_partitions(docs.sparkSession), "block")
 
 
 def gather_returns(rows: DataFrame) -> DataFrame:
@@ -140,6 +153,7 @@ def answer(asked: DataFrame, reply) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         back, step = reply(table.column("block").to_pylist(), table.column("payload").to_pylist())
         out = table.select(["block", "bucket"]).append_column("step", pa.array([step] * len(back), pa.int32())).append_column("payload", pa.array(back, pa.binary()))
+        release()
         return out.filter(pa.compute.is_valid(out.column("payload")))
 
     return asked.groupBy("bucket").applyInArrow(run, ROUTED)
@@ -153,6 +167,7 @@ def answer_and_tell(asked: DataFrame, reply) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         rows = [(b, bucket, step, p) for b, p in zip(table.column("block").to_pylist(), back) if p is not None]
         rows += [(-1, bucket, s, p) for s, p in told]
+        release()
         return pa.Table.from_batches([routed_rows(rows)]) if rows else pa.table({f: pa.array([], t) for f, t in (("block", pa.int64()), ("bucket", pa.int32()), ("step", pa.int32()), ("payload", pa.binary()))})
 
     return asked.groupBy("bucket").applyInArrow(run, ROUTED)

@@ -29,6 +29,7 @@ from pyspark.sql.types import StructType
 from loomgene.llm._store import decode_block, gather_returns, held, release, shuffle_partitions, to_blocks
 from loomgene.llm._words import expand, narrow, spread, squeeze
 
+DECODE_IDS = 1 << 17
 #: Fixed value: the word pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -73,10 +74,17 @@ class Vocabulary:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        lengths = self.piece_length[ids]
-        data = self.piece_bytes[spread(self.piece_start[ids], lengths)].tobytes()
-        ends = np.r_[0, np.cumsum(lengths)][bounds]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        """Texts of consecutive runs of ids, a part of the runs at a time."""
+        out, lo, n = [], 0, len(bounds) - 1
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DECODE_IDS, "right")) - 1))
+            part = ids[bounds[lo] : bounds[hi]]
+            lengths = self.piece_length[part]
+            data = self.piece_bytes[spread(self.piece_start[part], lengths)].tobytes()
+            ends = np.r_[0, np.cumsum(lengths)][bounds[lo : hi + 1] - bounds[lo]]
+            out += [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+            lo = hi
+        return out
 
 
 def _vocabulary(text: str) -> Vocabulary:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgene.llm._store import Tidy
 from loomgene.llm._words import SIGNS, Words, buffers, mix, sequences, slices, spread
 
 MAX_EDIT = 0.2
@@ -178,7 +179,7 @@ def _scan(docs: DataFrame, sent, max_edit: float, repeats: int) -> DataFrame:
                 yield from verify(items, held, repeats)
                 held, count = [], 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Tidy(run), LEAKS)
 
 
 def seeded(items: Items, words: Words, hashes: np.ndarray):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import materialize, shuffle_partitions
+from loomgene.llm._store import Tidy, materialize, shuffle_partitions
 
 MIN_TOKENS = 4
 LEADING, DEEP = 3, 8
@@ -76,7 +76,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "line"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, line long")
+    return _keyed(docs).mapInArrow(Tidy(run), "doc long, line long")
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _lines(rows)
 
-    found = _keyed(docs).mapInArrow(run, "line long, leaf long, deep long, masked string")
+    found = _keyed(docs).mapInArrow(Tidy(run), "line long, leaf long, deep long, masked string")
     return found.groupBy("leaf", "deep", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
 
 
@@ -192,7 +192,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"])
 
     schema = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(Tidy(cut), schema)
 
 
 def op6_line_templates(spark, sf_dir: str) -> DataFrame:

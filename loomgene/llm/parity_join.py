@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgene.llm._graph import components
-from loomgene.llm._store import answer, ask, finish, materialize, shuffle_partitions, to_blocks, with_returns
+from loomgene.llm._store import Tidy, answer, ask, finish, materialize, release, shuffle_partitions, to_blocks, with_returns
 from loomgene.llm._words import Routes, expand, mix, narrow, sequences, slices, spread, squeeze
 
 SHINGLE = 5
@@ -259,6 +259,7 @@ def star_pairs(posts: DataFrame) -> DataFrame:
         lead = np.repeat(head, np.diff(np.r_[head, len(key)]))
         keep = (ids[lead] != ids) & _fits(size[lead], size) & (np.maximum(rank[lead], rank) <= (size[lead] + size) // 7)
         pairs = np.unique(np.stack([ids[lead][keep], ids[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
+        release()
         return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
     return posts.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
@@ -275,7 +276,7 @@ def open_pairs(posts: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + key), pa.array(ids), pa.array(size), pa.array(rank)], names=["key", "id", "n", "rank"])
 
     slots = 8 * shuffle_partitions(posts.sparkSession)
-    rows = posts.select("bucket", "payload").mapInArrow(unpack, "key long, id long, n long, rank long")
+    rows = posts.select("bucket", "payload").mapInArrow(Tidy(unpack), "key long, id long, n long, rank long")
     named = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     wide = named.join(spans, "key", "left_semi").join(sketches.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
@@ -302,6 +303,7 @@ def open_pairs(posts: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
                     pairs = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
                     held = 0
         out = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+        release()
         return pa.table({"a": out[0].astype(np.int64), "b": out[1].astype(np.int64)})
 
     return wide.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
@@ -326,6 +328,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= 75 * (len(x) + len(y) - both):
                 out.append(i)
+        del sets
+        release()
         return pa.table({"a": a[out], "b": ids[out]})
 
     return left.unionByName(right).groupBy("slot").applyInArrow(check, "a long, b long")

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import held
+from loomgene.llm._store import Tidy, held
 from loomgene.llm._words import LOWER, buffers
 
 SAMPLE_DOCS = 80
@@ -113,7 +113,7 @@ class Parser:
             table[rows, self.classes[[c for t in after for c in t]]] = (base + np.array([to for t in after for to in t.values()])) * width * 4
             table[0][table[0] == base * width * 4 + 2] -= 1  # at the root no phrase is open
             table[:, self.pad] = (base + np.arange(n)) * width * 4
-            tables.append(table)
+            tables.append(table.astype(np.int32) if (base + n) * width * 4 < 2**31 else table)
             self.roots.append(base * width)
             base += n
         kind = np.int32 if base * width * 4 < 2**31 else np.int64
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(Tidy(predict), schema)
 
 
 def op2_parse_language(spark, sf_dir: str) -> DataFrame:
