@@ -98,3 +98,14 @@ def test_scalars(spark):
     ).first()
     assert (row["a"], row["b"], row["c"], row["d"], row["e"], row["g"], row["h"], row["i"], row["j"]) == (1234, None, "123|F|0--5", "aroma_R", "3", None, "CGTT", "scale_factor_100", "120")
     assert row["f"] == {"ID": "c", "x": "1+1"} and row["k"][2]["start"] == 98
+
+
+def test_numbered_rows_are_gapless_in_order(spark):
+    from loomgene.operators.identity import numbered
+
+    rows = [(k * 37 % 101, None if k % 9 == 0 else f"x{k % 5}", k) for k in range(400)] + [(7, "hot", k) for k in range(400, 700)]
+    df = spark.createDataFrame(rows, "a int, b string, k int").repartition(7)
+    found = {r["k"]: r["row"] for r in numbered(df, ["a", "b", "k"], pieces=20).collect()}
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    assert [found[r[2]] for r in want] == list(range(1, 701))
+    assert numbered(df.limit(0), ["a"]).collect() == []
