@@ -160,17 +160,22 @@ def templates_of(lines: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line): lines to drop."""
+    """(doc, line): lines to drop; as often as rows share a doc.
+
+    What recurs is written before the join, so that both of its sides are plain exchanges: a template that is in a large
+    share of the documents can then be split by adaptive execution, or its short table broadcast if that is small.
+    """
     named = materialize(templates_of(materialize(distinct_lines(docs), "lines")), "templates")
     uses = materialize(occurrences(docs).join(named, "line").select("doc", "line", "template"), "uses")
-    recurring = uses.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter(F.col("n") >= MIN_DOCS)
-    return uses.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("doc", "line").distinct()
+    counts = uses.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+    recurring = materialize(counts.filter(F.col("n") >= MIN_DOCS).select("template", "first"), "recurring")
+    return uses.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("doc", "line")
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with n_lines, n_dropped and kept, the text without its recurring lines."""
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped", "kept") if c in docs.columns])
-    gone = recurring_lines(docs).groupBy("doc").agg(F.collect_list("line").alias("__gone"))
+    gone = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     joined = keyed.join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
     names = docs.columns
