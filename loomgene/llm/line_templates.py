@@ -8,7 +8,10 @@ documents recurs: its lines are dropped from all documents but the first (the on
 smallest doc_id).
 
 Equal lines are counted before they meet in a leaf, so the share of a line in the
-corpus doesn't matter there; leaves with many different lines go ``DEEP`` tokens down.
+corpus doesn't matter there. A leaf's lines come sorted, a batch at a time; only its
+templates are held. Where they are many, a line is compared with those that share one of
+its rarest tokens: to agree in 75 % of f tokens a template must have one of any f // 4 + 1
+of them (pigeonhole), so this leaves out none, and a leaf's size doesn't change results.
 
 Defined cases: a null text has no lines and stays null; shorter lines are never dropped;
 lines are parted by line feeds; in a leaf, lines are taken by falling document count
@@ -20,6 +23,7 @@ are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import Tidy, materialize, shuffle_partitions
+from loomgene.llm._store import Tidy, materialize
 
 MIN_TOKENS = 4
-LEADING, DEEP = 3, 8
+LEADING = 3
 SIMILARITY = 0.75
 MIN_DOCS = 20
-LEAF_LINES = 4000
+#: Templates that a leaf compares one by one; of the others blocks of this size or more are indexed. Results don't depend on it.
+PLAIN = 256
 FIELD = "<*>"
 _DIGIT = regex.compile(r"\S*[0-9]\S*")
 _NO_ID = -(2**63)
@@ -80,7 +85,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(leaf, deep, line, masked, docs): each masked line of the corpus, with its number of documents.
+    """(leaf, line, masked, docs): each masked line of the corpus, with its number of documents.
 
     A document that comes as several rows counts for each here, which only lets more leaves through.
     """
@@ -91,8 +96,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             size = 0
             for (text,) in _texts(batch, 1):
                 for plain in _document_lines(text):
-                    head = [str(plain.count(" ")), *plain.split(" ", DEEP)[:DEEP]]
-                    rows.append((_digest(plain), _digest("\x1f".join(head[: LEADING + 1])), _digest("\x1f".join(head)), plain))
+                    head = [str(plain.count(" ")), *plain.split(" ", LEADING)[:LEADING]]
+                    rows.append((_digest(plain), _digest("\x1f".join(head)), plain))
                     size += len(plain)
                 if size > 1 << 20:
                     yield _lines(rows)
@@ -100,63 +105,108 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _lines(rows)
 
-    found = _keyed(docs).mapInArrow(Tidy(run), "line long, leaf long, deep long, masked string")
-    return found.groupBy("leaf", "deep", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
+    found = _keyed(docs).mapInArrow(Tidy(run), "line long, leaf long, masked string")
+    return found.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("docs"))
 
 
 def _lines(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["line", "leaf", "deep", "masked"])
+    kinds = (pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["line", "leaf", "masked"])
+
+
+class Leaf:
+    """Templates of one leaf, grown line by line. A template's name is its first line."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.number: dict[str, int] = {FIELD: 0}
+        self.templates = np.zeros((0, width), np.int32)
+        self.names: list[int] = []
+        self.indexed = 0
+        #: (sorted keys of token and place, templates that began with them), each block more than twice the next.
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, line: int, text: str) -> int:
+        """The template that the line joins or begins."""
+        number = self.number
+        tokens = np.array([number.setdefault(t, len(number)) for t in text.split(" ")], np.int32)
+        least = SIMILARITY * max(1, int((tokens != 0).sum()))
+        n = len(self.names)
+        if n:
+            at = self._candidates(tokens)
+            found = self.templates[:n] if at is None else self.templates[at]
+            # A variable field agrees with nothing, so templates don't grow ever wider.
+            same = ((found == tokens) & (tokens != 0)).sum(axis=1)
+            fields = (found == 0).sum(axis=1)
+            if len(same) and same[best := int(np.lexsort((-fields, same))[-1])] >= least:
+                best = best if at is None else int(at[best])
+                self.templates[best][self.templates[best] != tokens] = 0
+                return self.names[best]
+        if n == len(self.templates):
+            self.templates = np.vstack([self.templates, np.zeros((max(16, n), self.width), np.int32)])
+        self.templates[n] = tokens
+        self.names.append(line)
+        if n + 1 - self.indexed == PLAIN:
+            self._index()
+        return line
+
+    def _index(self) -> None:
+        rows = self.templates[self.indexed : len(self.names), LEADING:]
+        row, place = np.nonzero(rows)
+        keys, owner = rows[row, place].astype(np.int64) * self.width + place, (row + self.indexed).astype(np.int32)
+        self.indexed = len(self.names)
+        while True:
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            if not self.blocks or len(self.blocks[-1][0]) > 2 * len(keys):
+                break
+            more, whose = self.blocks.pop()
+            keys, owner = np.r_[more, keys], np.r_[whose, owner]
+        self.blocks.append((keys, owner))
+
+    def _candidates(self, tokens: np.ndarray) -> np.ndarray | None:
+        """Templates that may agree well enough, in order; None for all. Leading tokens are the leaf's and tell nothing."""
+        place = np.flatnonzero(tokens[LEADING:])
+        fixed = int((tokens != 0).sum())
+        probes = fixed - math.ceil(SIMILARITY * fixed) + 1
+        if not self.blocks or len(place) < probes:
+            return None
+        keys = tokens[LEADING:][place].astype(np.int64) * self.width + place
+        spans = [(np.searchsorted(block, keys, "left"), np.searchsorted(block, keys, "right")) for block, _ in self.blocks]
+        rarest = np.argsort(sum(hi - lo for lo, hi in spans), kind="stable")[:probes]
+        found = [owner[lo[i] : hi[i]] for (lo, hi), (_, owner) in zip(spans, self.blocks) for i in rarest]
+        return np.unique(np.concatenate([*found, np.arange(self.indexed, len(self.names), dtype=np.int32)]))
 
 
 def leaf_templates(lines: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """(line, template) for the (line, masked text, documents) of one leaf. A template's name is the digest of its first line."""
-    lines = sorted(lines, key=lambda x: (-x[2], x[1]))
-    number: dict[str, int] = {FIELD: 0}
-    width = len(lines[0][1].split(" "))
-    templates = np.zeros((0, width), np.int64)
-    names: list[int] = []
-    out = []
-    for line, text, _ in lines:
-        tokens = np.array([number.setdefault(t, len(number)) for t in text.split(" ")])
-        best = -1
-        if names:
-            # A variable field agrees with nothing, so templates don't grow ever wider.
-            same = ((templates[: len(names)] == tokens) & (tokens != 0)).sum(axis=1)
-            fields = (templates[: len(names)] == 0).sum(axis=1)
-            best = int(np.lexsort((-fields, same))[-1])
-            fixed = max(1, int((tokens != 0).sum()))
-            if same[best] < SIMILARITY * (width if fixed == width else fixed):
-                best = -1
-        if best < 0:
-            best = len(names)
-            names.append(line)
-            if best == len(templates):
-                templates = np.vstack([templates, np.zeros((max(16, best), width), np.int64)])
-            templates[best] = tokens
-        else:
-            templates[best][templates[best] != tokens] = 0
-        out.append((line, names[best]))
-    return out
+    """(line, template) for the (line, masked text, documents) of one leaf."""
+    leaf = Leaf(len(lines[0][1].split(" ")))
+    return [(line, leaf.add(line, text)) for line, text, _ in sorted(lines, key=lambda x: (-x[2], x[1]))]
 
 
 def templates_of(lines: DataFrame) -> DataFrame:
-    """(line, template) of the distinct lines (line, leaf, deep, masked, docs) whose leaf has enough documents."""
-    spark = lines.sparkSession
+    """(line, template) of the distinct lines (line, leaf, masked, docs) whose leaf has enough documents."""
     leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter(F.col("leaf_docs") >= MIN_DOCS)
-    rows = lines.join(leaves, "leaf").withColumn("leaf", F.when(F.col("leaf_lines") > LEAF_LINES, F.col("deep")).otherwise(F.col("leaf")))
+    rows = lines.join(leaves, "leaf")
     alone = rows.filter("leaf_lines = 1").select("line", F.col("line").alias("template"))
 
-    def grow(table: pa.Table) -> pa.Table:
-        groups: dict[tuple[int, int], list] = {}
-        for leaf, line, text, n in zip(*(table.column(c).to_pylist() for c in ("leaf", "line", "masked", "docs"))):
-            groups.setdefault((leaf, text.count(" ")), []).append((line, text, n))
-        found = [x for leaf in groups.values() for x in leaf_templates(leaf)]
-        return pa.table({"line": pa.array([x[0] for x in found], pa.int64()), "template": pa.array([x[1] for x in found], pa.int64())})
-
-    slots = 16 * shuffle_partitions(spark)
-    shared = rows.filter("leaf_lines > 1").withColumn("slot", F.pmod(F.xxhash64("leaf"), F.lit(slots))).select("slot", "leaf", "line", "masked", "docs")
-    return alone.unionByName(shared.groupBy("slot").applyInArrow(grow, "line long, template long"))
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, grown = None, {}
+        for batch in batches:
+            found = []
+            for leaf, line, text in _texts(batch, 0, 1, 2):
+                if leaf != at:
+                    at, grown = leaf, {}
+                width = text.count(" ") + 1  # differs within a leaf if digests collide
+                if width not in grown:
+                    grown[width] = Leaf(width)
+                found.append((line, grown[width].add(line, text)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["line", "template"])
+
+    shared = rows.filter("leaf_lines > 1").select("leaf", "line", "masked", "docs").repartition("leaf")
+    shared = shared.sortWithinPartitions("leaf", F.desc("docs"), "masked").select("leaf", "line", "masked")
+    return alone.unionByName(shared.mapInArrow(Tidy(grow), "line long, template long"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:

@@ -274,6 +274,38 @@ def test_leaf_templates_generalise():
     assert len(dict(line_templates.leaf_templates([(1, "a b c d", 1), (2, "e f g h", 1)]))) == 2
 
 
+def plain_templates(lines):
+    """The template of each line, by comparing it with all templates so far."""
+    found, out = [], {}
+    for line, text, _ in sorted(lines, key=lambda x: (-x[2], x[1])):
+        tokens = text.split(" ")
+        fixed = max(1, sum(t != "<*>" for t in tokens))
+        rank = [(sum(a == b != "<*>" for a, b in zip(tokens, t)), -t.count("<*>"), i) for i, (_, t) in enumerate(found)]
+        if rank and max(rank)[0] >= 0.75 * fixed:
+            name, t = found[max(rank)[2]]
+            t[:] = [a if a == b else "<*>" for a, b in zip(tokens, t)]
+        else:
+            found.append((name := line, tokens))
+        out[line] = name
+    return out
+
+
+def test_leaf_templates_by_index_equal_a_plain_comparison(monkeypatch):
+    monkeypatch.setattr(line_templates, "PLAIN", 3)
+    rng = random.Random(8)
+    for width in (4, 5, 7, 9, 14):
+        texts = {" ".join(["a", "<*>", "b"] + [rng.choice(["<*>", *"uvwxyz"]) if rng.random() < 0.6 else f"t{rng.randrange(40)}" for _ in range(width - 3)]) for _ in range(500)}
+        lines = [(i, text, rng.randrange(1, 4)) for i, text in enumerate(sorted(texts))]
+        assert dict(line_templates.leaf_templates(lines)) == plain_templates(lines)
+
+
+@pytest.mark.parametrize("names", [4000, 4001])
+def test_a_template_recurs_whatever_the_size_of_its_leaf(spark, names):
+    docs = spark.range(names).selectExpr("id as doc_id", "concat('Posted in the ', translate(string(id), '0123456789', 'abcdefghij'), ' section today\nown words of ', uuid()) as text")
+    got = line_templates.drop_recurring(docs).groupBy(F.col("kept").contains("section").alias("there")).count().collect()
+    assert {r["there"]: r["count"] for r in got} == {True: 1, False: names - 1}
+
+
 def plant(rng, item, k, voc):
     words = item.split()
     for _ in range(k):
