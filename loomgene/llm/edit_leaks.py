@@ -1,14 +1,13 @@
-"""Benchmark decontamination by embedded edit distance.
+"""Benchmark decontamination by seeds and exact edit distance.
 
 A document leaks an item if some stretch of its words is within ``MAX_EDIT`` of the
-item's length in word edits. Windows of the item's size are embedded by the CGK random
-walk, which maps edit distance to Hamming distance; bit sampling then gives repeated
-LSH keys, as many as reach the target recall; windows that share a key with an item of
-their size are verified by exact edit distance.
+item's length in word edits. Every stretch that may be so is verified exactly: first
+whether it is, by a bit-parallel search, then where and how far, by the full table.
 
 A stretch within e edits of an item holds one of the item's runs of L div (e + 1)
-words unchanged (pigeonhole), so only windows around such runs are embedded; this
-leaves out no leak. Documents are scanned once, in place: nothing is shuffled. Items
+words unchanged (pigeonhole), and of its runs of k words at least L + 1 - k (e + 1), at
+places shifted by at most e; only stretches around so many runs are verified, and this
+leaves out no leak, whatever the item's length. Documents are scanned once, in place: nothing is shuffled. Items
 are sent to the executors in blocks of bounded size, a scan for each block.
 
 Words are runs of letters and digits, lower case in A-Z. Defined cases: null or empty
@@ -19,7 +18,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,51 +26,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgene.llm._store import Tidy
-from loomgene.llm._words import SIGNS, Words, buffers, mix, sequences, slices, spread
+from loomgene.llm._words import SIGNS, Words, buffers, sequences, slices, spread
 
 MAX_EDIT = 0.2
 SEED_WORDS = 4
-SAMPLED = 4
-TARGET_RECALL = 0.99
-#: Assumed Hamming distance of the walks for an edit, as a share of the walk per word; the tests measure the recall that comes of it.
-DRIFT = 1.9
 ITEM_BLOCK_BYTES = 8 << 20
-FLUSH_WINDOWS = 20_000
 LEAKS = "doc_id long, item_id long, distance int, start_word long, n_words int, item_words int"
 
 
-def repetitions(recall: float = TARGET_RECALL, max_edit: float = MAX_EDIT, sampled: int = SAMPLED) -> int:
-    """Keys needed for a pair at the largest distance to share one with the target probability."""
-    same = max(0.05, 1 - DRIFT * max_edit) ** sampled
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-
-
-def cgk_keys(words: np.ndarray, start: np.ndarray, length: np.ndarray, repeats: int, sampled: int = SAMPLED, seed: int = 71) -> np.ndarray:
-    """(repeats, windows) keys. The walk r reads a word per step and moves on by a random bit of that word and step; samples at fixed steps make the key."""
-    keys = np.empty((repeats, len(start)), np.uint64)
-    end = start + length
-    held = np.r_[words, np.uint64(0)]
-    last = len(held) - 1
-    for r in range(repeats):
-        # What a walk does must not depend on the other windows of a call: its numbers are hashes of repetition and step.
-        name = np.uint64((seed * 1000 + r) << 32)
-        shares = (mix(np.arange(sampled, dtype=np.uint64) + name) >> np.uint64(11)).astype(float) / 2**53
-        odd = mix(np.arange(2 * int(length.max(initial=1)), dtype=np.uint64) + name + np.uint64(1 << 31)) | np.uint64(1)
-        at = start.copy()
-        key = np.full(len(start), r + 1, np.uint64)
-        # The walk of a window of n words has 2n steps; samples fall on the same steps for windows of one size.
-        when = np.sort((shares[:, None] * (2 * length)[None, :]).astype(np.int64), axis=0)
-        turn = np.zeros(len(start), np.int64)
-        for t in range(2 * int(length.max(initial=0))):
-            word = held[np.where(at < end, at, last)]
-            due = when[np.minimum(turn, sampled - 1), np.arange(len(start))] == t
-            while (hit := due & (turn < sampled)).any():
-                key[hit] = mix(key[hit] * np.uint64(0xD1342543DE82EF95) + word[hit])
-                turn[hit] += 1
-                due = hit & (when[np.minimum(turn, sampled - 1), np.arange(len(start))] == t) & (turn < sampled)
-            at += ((word * odd[t]) >> np.uint64(63)).astype(np.int64)
-        keys[r] = key
-    return keys
+def within(pattern: list[int], text: list[int], edits: int) -> bool:
+    """Whether some stretch of ``text`` is within ``edits`` of ``pattern``, by a column of the table in one number (Myers)."""
+    if not pattern:
+        return True
+    full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    at: dict[int, int] = {}
+    for i, word in enumerate(pattern):
+        at[word] = at.get(word, 0) | 1 << i
+    up, down, cost = full, 0, len(pattern)
+    for word in text:
+        same = at.get(word, 0)
+        cross = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(cross | up)), up & cross
+        cost += bool(more & top) - bool(less & top)
+        if cost <= edits:
+            return True
+        more, less, level = more << 1 & full, less << 1 & full, same | down
+        up, down = less | (full & ~(level | more)), more & level
+    return cost <= edits
 
 
 def best_stretch(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -101,9 +81,9 @@ def best_stretch(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Benchmark items of one block: words, seeds, and LSH keys."""
+    """Benchmark items of one block: words and seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_edit: float, repeats: int):
+    def __init__(self, ids: list[int], texts: list[str], max_edit: float):
         raw, offsets = buffers(pa.array(texts, pa.large_string()))
         words = Words(raw, offsets, True, SIGNS)
         hashes, size = words.hashes(), np.diff(words.first)
@@ -125,11 +105,6 @@ class Items:
             bits = np.zeros(1 << 20, bool)
             bits[(grams & np.uint64(0xFFFFF)).astype(np.int64)] = True
             self.seeds[int(k)] = grams[order], owner[order], (place - self.first[owner])[order], bits
-        keys = cgk_keys(hashes, self.first, self.size, repeats)
-        # A key also holds the size, so that windows meet items of their own size only.
-        keys = mix(keys ^ mix(self.size.astype(np.uint64))[None, :]).ravel()
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.key_item = keys[order], np.tile(np.arange(len(self.ids)), repeats)[order]
 
 
 def _matches(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +113,11 @@ def _matches(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(wanted)), hi - lo), spread(lo, hi - lo)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = TARGET_RECALL, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it leaks: the least distance, and where its first best stretch lies."""
     if not 0 <= max_edit < 0.5:
         raise ValueError("max_edit must be at least 0 and below 0.5")
     context = docs.sparkSession.sparkContext
-    repeats = repetitions(recall, max_edit)
     rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-size // block_bytes))
@@ -153,97 +127,65 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, re
         for row in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").toLocalIterator():
             ids.append(row["item_id"])
             texts.append(row["text"])
-        part = _scan(docs, context.broadcast((ids, texts)), max_edit, repeats)
+        part = _scan(docs, context.broadcast((ids, texts)), max_edit)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _scan(docs: DataFrame, sent, max_edit: float, repeats: int) -> DataFrame:
+def _scan(docs: DataFrame, sent, max_edit: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*sent.value, max_edit, repeats)
-        held: list[tuple] = []
-        count = 0
+        items = Items(*sent.value, max_edit)
         for batch in batches:
             ids = batch.column(0)
             for lo, _, words in slices(batch.column(1), True, space=SIGNS):
-                if not len(items.ids) or not len(words):
-                    continue
-                hashes = words.hashes()
-                for spot in seeded(items, words, hashes):
-                    held.append((ids[lo + spot[0]].as_py(), *spot[1:]))
-                    count += spot[5]
-                if count >= FLUSH_WINDOWS:
-                    yield from verify(items, held, repeats)
-                    held, count = [], 0
-            if held:  # a document's spots stay within a batch
-                yield from verify(items, held, repeats)
-                held, count = [], 0
+                if len(items.ids) and len(words):
+                    yield from verify(items, words, words.hashes(), ids, lo)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Tidy(run), LEAKS)
 
 
-def seeded(items: Items, words: Words, hashes: np.ndarray):
-    """Stretches around unchanged runs: (document, its first word here, words, size of windows, lowest window start, number of starts)."""
-    spans = []
+def seeded(items: Items, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches around enough unchanged runs, a document's in order: (document, item, first word, end)."""
     for k, (grams, owner, offset, bits) in items.seeds.items():
         own = sequences(hashes, k)
         if not len(own):
             continue
         maybe = np.flatnonzero(bits[(own & np.uint64(0xFFFFF)).astype(np.int64)] & (words.doc[: len(own)] == words.doc[k - 1 :]))
         at, hit = _matches(grams, own[maybe])
-        if len(at):
-            place, item = maybe[at], owner[hit]
-            spans.append(np.stack([place - offset[hit] - items.edits[item], place - offset[hit] + items.edits[item], items.size[item], words.doc[place]]))
-    if not spans:
-        return
-    low, high, size, doc = np.concatenate(spans, axis=1)
-    first, last = words.first[doc], words.first[doc + 1]
-    low = np.clip(low, first, last - 1)
-    high = np.clip(high, low, last - 1)
-    # Starts that overlap are taken once for each size.
-    order = np.lexsort((high, low, size, doc))
-    low, high, size, doc = low[order], high[order], size[order], doc[order]
-    group = np.r_[True, (size[1:] != size[:-1]) | (doc[1:] != doc[:-1])]
-    top = high + 0
-    shift = (np.cumsum(group) * (len(hashes) + 1)).astype(np.int64)
-    top = np.maximum.accumulate(top + shift)
-    fresh = np.r_[True, low[1:] + shift[1:] > top[:-1] + 1]
-    head = np.flatnonzero(fresh)
-    tail = np.r_[head[1:], len(low)] - 1
-    for a, b in zip(head.tolist(), tail.tolist()):
-        lo, hi, n, d = int(low[a]), int(top[b] - shift[b]), int(size[a]), int(doc[a])
-        slack = n // 2
-        left, right = max(int(words.first[d]), lo - slack), min(int(words.first[d + 1]), hi + n + slack)
-        yield d, left - int(words.first[d]), hashes[left:right].copy(), n, lo - left, hi - lo + 1
+        if not len(at):
+            continue
+        place, item = maybe[at], owner[hit]
+        doc, shift = words.doc[place], place - offset[hit]
+        order = np.lexsort((shift, item, doc))
+        doc, item, shift = doc[order], item[order], shift[order]
+        edits, size = items.edits[item], items.size[item]
+        # The last of the runs that a stretch needs, if this is its first.
+        last = np.arange(len(doc)) + np.maximum(1, size + 1 - k * (edits + 1)) - 1
+        here = np.flatnonzero(last < len(doc))
+        last = last[here]
+        fit = (doc[here] == doc[last]) & (item[here] == item[last]) & (shift[last] - shift[here] <= 2 * edits[here])
+        here, last = here[fit], last[fit]
+        if not len(here):
+            continue
+        doc, item, edits = doc[here], item[here], edits[here]
+        low = np.maximum(shift[last] - edits, words.first[doc])
+        high = np.minimum(shift[here] + 2 * edits + size[here], words.first[doc + 1])
+        # Both bounds grow within a document and item; stretches that overlap are taken as one.
+        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])])
+        tail = np.r_[head[1:], len(doc)] - 1
+        yield from zip(doc[head].tolist(), item[head].tolist(), low[head].tolist(), high[tail].tolist())
 
 
-def verify(items: Items, held: list[tuple], repeats: int):
-    """LSH keys of all windows of the stretches, and exact distances where a key meets an item's."""
-    lengths = np.array([len(h[2]) for h in held])
-    base = np.cumsum(lengths) - lengths
-    flat = np.concatenate([h[2] for h in held])
-    starts = np.array([h[5] for h in held])
-    start = spread(base + np.array([h[4] for h in held]), starts)
-    owner = np.repeat(np.arange(len(held)), starts)
-    size = np.array([h[3] for h in held])[owner]
-    # A window at the end of its stretch may be cut short there.
-    cut = np.minimum(size, (base + lengths)[owner] - start)
-    wanted: set[tuple[int, int]] = set()
-    for a in range(0, len(start), FLUSH_WINDOWS):
-        part = slice(a, a + FLUSH_WINDOWS)
-        keys = mix(_window_keys(flat, start[part], cut[part], size[part], repeats) ^ mix(size[part].astype(np.uint64))[None, :])
-        at, hit = _matches(items.keys, keys.ravel())
-        if len(at):
-            pairs = np.unique(owner[part][at % keys.shape[1]] * len(items.ids) + items.key_item[hit])
-            wanted.update(zip((pairs // len(items.ids)).tolist(), (pairs % len(items.ids)).tolist()))
+def verify(items: Items, words: Words, hashes: np.ndarray, ids: pa.Array, lo: int) -> Iterator[pa.RecordBatch]:
+    """Exact distances of the documents of a slice whose stretches are near enough."""
     best: dict[tuple, tuple] = {}
-    for spot, item in sorted(wanted):
-        doc, offset, text = held[spot][0], held[spot][1], held[spot][2]
-        pattern = items.words[items.first[item] : items.first[item] + items.size[item]]
-        d, i, j = best_stretch(pattern, text)
-        if d <= items.edits[item]:
-            key = (doc, id(held[spot]) if doc is None else 0, int(items.ids[item]))
-            value = (d, offset + i, j - i, int(items.size[item]))
+    for d, item, low, high in seeded(items, words, hashes):
+        pattern, text = items.words[items.first[item] : items.first[item] + items.size[item]], hashes[low:high]
+        if within(pattern.tolist(), text.tolist(), int(items.edits[item])):
+            distance, i, j = best_stretch(pattern, text)
+            doc = ids[lo + d].as_py()
+            key = (doc, d if doc is None else 0, int(items.ids[item]))
+            value = (distance, low - int(words.first[d]) + i, j - i, int(items.size[item]))
             if key not in best or value < best[key]:
                 best[key] = value
     if best:
@@ -252,15 +194,6 @@ def verify(items: Items, held: list[tuple], repeats: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "distance", "start_word", "n_words", "item_words"])
 
 
-def _window_keys(flat, start, cut, size, repeats):
-    """Walks over windows of their full size, with an empty word past a cut end."""
-    longest = int(size.max(initial=1))
-    step = np.arange(longest)
-    inside = step[None, :] < cut[:, None]
-    table = np.where(inside, flat[np.where(inside, start[:, None] + step, 0)], np.uint64(0)).ravel()
-    return cgk_keys(table, np.arange(len(start)) * longest, size, repeats)
-
-
 def op8_edit_leaks(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -350,6 +350,25 @@ def test_leaks_reach_the_target_recall(spark):
     assert edit_leaks.find_leaks(docs.limit(0), bench).count() == 0 and edit_leaks.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 60, 120, 200])
+def test_every_leak_at_the_largest_distance_is_found(spark, size):
+    rng = random.Random(size)
+    voc = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(voc) for _ in range(size))) for i in range(5)]
+    fill = lambda: " ".join(rng.choice(voc) for _ in range(30))
+    rows = [(n, f"{fill()} {plant(rng, items[n % 5][1], size // 5, voc)} {fill()}") for n in range(60)]
+    found = edit_leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(n, n % 5) for n, _ in rows} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
+def test_within_equals_best_stretch():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = rng.integers(0, 4, rng.integers(1, 90)), rng.integers(0, 4, rng.integers(0, 120))
+        d = edit_leaks.best_stretch(a, b)[0]
+        assert edit_leaks.within(a.tolist(), b.tolist(), d) and not edit_leaks.within(a.tolist(), b.tolist(), d - 1)
+
+
 def test_best_stretch_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(40):
