@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from loomgene.llm import bpe_table, edit_leaks, line_templates, parity_join, parse_language
 from loomgene.llm._store import materialize
 
-#: A document whose text parses better as another language than its label goes only if it needs less than this share fewer phrases there:
+#: A document goes if at least this share of its letters is in blocks that parse clearly better as another language than its label:
 #: texts in two languages, or with a long foreign passage, stay.
-DOUBT = 0.7
+FOREIGN = 0.9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose label is a learned language that their text clearly isn't."""
     samples = parse_language.learn(docs)
-    found = parse_language.identify(docs.select("*", F.col("lang").alias("__lang")), samples)
-    learned = F.col("__lang").isin(*samples) if samples else F.lit(False)
-    clash = learned & (F.col("lang_pred") != F.col("__lang")) & (F.col("score") > DOUBT)
-    return found.filter((F.col("lang_pred") != "und") & ~F.coalesce(clash, F.lit(False))).select(*docs.columns)
+    found = parse_language.identify(docs.select("*", F.col("lang").alias("__lang")), samples, "__lang")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("foreign") < FOREIGN)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

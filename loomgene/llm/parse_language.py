@@ -37,6 +37,8 @@ SAMPLE_CHARS = 300
 MAX_LANGUAGES = 200
 CHUNK = 256
 SLICE = 1 << 20
+#: A block is clearly foreign if another language needs this share less than its label's.
+CLEAR = 0.15
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -123,10 +125,17 @@ class Parser:
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases per language and document."""
+        count, owner, _ = self.blocks(data, offsets)
+        return self._per_document(count, owner, len(offsets) - 1)
+
+    def _per_document(self, count: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        return np.array([np.bincount(owner, weights=c, minlength=n) for c in count]).astype(np.int64).reshape(len(self.langs), n)
+
+    def blocks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases per language and block; each block's document; its number of letters."""
         n = len(offsets) - 1
-        out = np.zeros((len(self.langs), n), np.int64)
         if not len(data) or not self.langs:
-            return out
+            return np.zeros((len(self.langs), 0), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         plain = letters(data)
         doc = np.repeat(np.arange(n), np.diff(offsets))
         keep = ~((plain == 32) & np.r_[False, (plain[:-1] == 32) & (doc[1:] == doc[:-1])])
@@ -144,34 +153,41 @@ class Parser:
             count += step & 3
             state = step >> 2
         count += state != self.start
-        owner = np.repeat(np.arange(n), lanes)
-        for i in range(len(self.langs)):
-            out[i] = np.bincount(owner, weights=count[i], minlength=n).astype(np.int64)
-        return out
+        return count, np.repeat(np.arange(n), lanes), np.bincount(lane, minlength=grid.shape[1])
 
-    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+    def predict(self, column: pa.Array, labels: list[str | None] | None = None) -> tuple[list[str], list[float], np.ndarray]:
+        """Language and score of each text; and the share of its letters in blocks that clearly aren't in its label's language (0 for labels not learned)."""
         data, offsets = buffers(column)
         n = len(offsets) - 1
         cost = np.zeros((len(self.langs), n))
         letter = np.zeros(n, bool)
+        foreign = np.zeros(n)
+        place = {lang: i for i, lang in enumerate(self.langs)}
+        label = np.array([place.get(x, -1) for x in labels or [None] * n], np.int64)
         lo = 0
         while lo < n:
             hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1))
             part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            cost[:, lo:hi] = self.phrases(part, bounds)
+            count, owner, size = self.blocks(part, bounds)
+            cost[:, lo:hi] = self._per_document(count, owner, hi - lo)
+            if labels is not None and len(owner):
+                each = count * self.weight[:, None]
+                mine = label[lo:hi][owner]
+                clear = (mine >= 0) & (each.min(axis=0) <= (1 - CLEAR) * each[mine, np.arange(len(mine))])
+                foreign[lo:hi] = np.bincount(owner, size * clear, hi - lo) / np.maximum(1, np.bincount(owner, size, hi - lo))
             ascii_letter = np.r_[0, np.cumsum((LOWER[part] >= 97) & (LOWER[part] <= 122))]
             letter[lo:hi] = ascii_letter[bounds[1:]] > ascii_letter[bounds[:-1]]
             lo = hi
         for i in np.flatnonzero(~letter):
             letter[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode(errors="ignore")))
         if not self.langs:
-            return ["und"] * n, [0.0] * n
+            return ["und"] * n, [0.0] * n, foreign
         cost *= self.weight[:, None]
         best = cost.argmin(axis=0)
         least = cost[best, np.arange(n)]
         rest = np.partition(cost, 1, axis=0)[1] if len(self.langs) > 1 else np.full(n, np.inf)
         score = np.where(rest > 0, 1 - least / np.where(rest > 0, rest, 1), 0.0)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letter)], [float(s) if ok else 0.0 for s, ok in zip(score, letter)]
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, letter)], [float(s) if ok else 0.0 for s, ok in zip(score, letter)], foreign
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
@@ -187,22 +203,25 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return found
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> DataFrame:
-    """All columns of ``docs`` with held_out, lang_pred and score; columns of these names are replaced."""
+def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None, label: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with held_out, lang_pred and score, and with ``label``, a column, foreign; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs) if samples is None else samples)
-    clash = [c for c in ("held_out", "lang_pred", "score") if c in docs.columns]
+    clash = [c for c in ("held_out", "lang_pred", "score", *(["foreign"] if label else [])) if c in docs.columns]
     rows = docs.drop(*clash).withColumn("held_out", F.pmod(id_crc(), F.lit(4)) == 2)
     place = rows.columns.index("text")
+    tag = rows.columns.index(label) if label else None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = sent.value
         key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
         parser = held(("parser", key), lambda: Parser(samples))
         for batch in batches:
-            langs, scores = parser.predict(batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            langs, scores, foreign = parser.predict(batch.column(place), None if tag is None else batch.column(tag).to_pylist())
+            more = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())} | ({"foreign": pa.array(foreign, pa.float64())} if label else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
+    schema = schema.add("foreign", "double") if label else schema
     return rows.mapInArrow(Tidy(predict), schema)
 
 

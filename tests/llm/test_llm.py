@@ -239,6 +239,24 @@ def test_language_awkward_rows(docs, rows, none, twice):
     assert {r["lang_pred"] for r in parse_language.identify(docs, {}).collect()} == {"und"}
 
 
+def test_pipeline_drops_wrong_labels_and_keeps_mixed_texts(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    known = [r for r in docs.orderBy("doc_id").collect() if r["text"] and r["lang"] and len(r["text"]) >= 600]
+    langs = sorted({r["lang"] for r in known})
+    # Ids of the held-out fold, so that wrong labels teach nothing.
+    ids = iter(i for i in range(10**6, 2 * 10**6) if zlib.crc32(str(i).encode()) % 4 == 2)
+    wrong, right, mixed = {}, {}, {}
+    for a, b in list(zip(known, known[1:]))[:40]:
+        wrong[next(ids)] = (a["text"], langs[langs.index(a["lang"]) - 1])
+        right[next(ids)] = (a["text"], a["lang"])
+        mixed[next(ids)] = (a["text"][:300] + " " + b["text"][:300], a["lang"])
+    rows = [(i, *x) for found in (wrong, right, mixed) for i, x in found.items()]
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), data).collect()}
+    assert len(left & set(wrong)) <= 1 and set(right) <= left and set(mixed) <= left
+
+
 def test_phrases_equal_a_plain_parse():
     parser = parse_language.Parser({"a": ["the cat sat on the mat and the cat"], "b": ["le chat et le rat"]})
     text = b"the rat sat on a chat, zzz"
