@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines are cut; a document of which nothing is left goes."""
-    cut = line_templates.drop_recurring(docs)
+    cut = line_templates.drop_recurring(docs, min_tokens=1)
     left = cut.filter((F.col("n_dropped") == 0) | (F.trim(F.translate("kept", "\n\r\t", "   ")) != ""))
     size = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return left.withColumns({**size, "text": F.col("kept")}).select(*docs.columns)

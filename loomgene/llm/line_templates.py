@@ -5,7 +5,8 @@ of tokens and their leading tokens, those with digits masked. In a leaf, lines t
 agree in at least ``SIMILARITY`` of their tokens share a template, in which the tokens
 that differ are variable fields. A template that occurs in at least ``MIN_DOCS``
 documents recurs: its lines are dropped from all documents but the first (the one of
-smallest doc_id).
+smallest doc_id). Shorter lines, where the queries let them take part, recur if they are
+equal token by token, digits included, in as many documents.
 
 Equal lines are counted before they meet in a leaf, so the share of a line in the
 corpus doesn't matter there. A leaf's lines come sorted, a batch at a time; only its
@@ -13,7 +14,8 @@ templates are held. Where they are many, a line is compared with those that shar
 its rarest tokens: to agree in 75 % of f tokens a template must have one of any f // 4 + 1
 of them (pigeonhole), so this leaves out none, and a leaf's size doesn't change results.
 
-Defined cases: a null text has no lines and stays null; shorter lines are never dropped;
+Defined cases: a null text has no lines and stays null; lines of fewer than ``min_tokens`` tokens are
+never dropped, nor lines of fewer than ``MIN_TOKENS`` tokens without a letter;
 lines are parted by line feeds; in a leaf, lines are taken by falling document count
 and then by their tokens, so results don't depend on the order of input; rows that share
 a doc_id are one document; null counts as one id, before all others; an empty table
@@ -49,8 +51,11 @@ _NO_ID = -(2**63)
 
 def masked(line: str) -> str:
     """The line's tokens with one space between them; those with digits are variable."""
-    out = " ".join(line.split())
-    return _DIGIT.sub(FIELD, out) if any(map(str.isdigit, out)) else out
+    return _mask(" ".join(line.split()))
+
+
+def _mask(plain: str) -> str:
+    return _DIGIT.sub(FIELD, plain) if any(map(str.isdigit, plain)) else plain
 
 
 def _digest(text: str) -> int:
@@ -63,28 +68,37 @@ def _texts(batch: pa.RecordBatch, *places: int, rows: int = 256) -> Iterator[tup
         yield from zip(*(batch.column(i).slice(a, rows).to_pylist() for i in places))
 
 
-def _document_lines(text: str | None) -> set[str]:
-    """The masked lines of a text that can be dropped."""
-    return {x for x in map(masked, text.split("\n")) if x.count(" ") >= MIN_TOKENS - 1} if text else set()
+def _reduced(line: str, min_tokens: int) -> str | None:
+    """The line as it is compared: masked, or if it is short token by token; None if it can't be dropped."""
+    out = " ".join(line.split())
+    size = out.count(" ") + 1 if out else 0
+    if size >= MIN_TOKENS:
+        return _mask(out) if size >= min_tokens else None
+    return out if size >= min_tokens and any(map(str.isalpha, out)) else None
+
+
+def _document_lines(text: str | None, min_tokens: int) -> set[str]:
+    """The lines of a text that can be dropped, as they are compared."""
+    return {x for x in (_reduced(line, min_tokens) for line in text.split("\n")) if x is not None} if text else set()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, line): each masked line of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, _digest(x)) for doc, text in _texts(batch, 0, 1) for x in _document_lines(text)]
+            rows = [(doc, _digest(x)) for doc, text in _texts(batch, 0, 1) for x in _document_lines(text, min_tokens)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "line"])
 
     return _keyed(docs).mapInArrow(Tidy(run), "doc long, line long")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(leaf, line, masked, docs): each masked line of the corpus, with its number of documents.
 
     A document that comes as several rows counts for each here, which only lets more leaves through.
@@ -95,7 +109,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             size = 0
             for (text,) in _texts(batch, 1):
-                for plain in _document_lines(text):
+                for plain in _document_lines(text, min_tokens):
                     head = [str(plain.count(" ")), *plain.split(" ", LEADING)[:LEADING]]
                     rows.append((_digest(plain), _digest("\x1f".join(head)), plain))
                     size += len(plain)
@@ -209,23 +223,23 @@ def templates_of(lines: DataFrame) -> DataFrame:
     return alone.unionByName(shared.mapInArrow(Tidy(grow), "line long, template long"))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, line): lines to drop; as often as rows share a doc.
 
     What recurs is written before the join, so that both of its sides are plain exchanges: a template that is in a large
     share of the documents can then be split by adaptive execution, or its short table broadcast if that is small.
     """
-    named = materialize(templates_of(materialize(distinct_lines(docs), "lines")), "templates")
-    uses = materialize(occurrences(docs).join(named, "line").select("doc", "line", "template"), "uses")
+    named = materialize(templates_of(materialize(distinct_lines(docs, min_tokens), "lines")), "templates")
+    uses = materialize(occurrences(docs, min_tokens).join(named, "line").select("doc", "line", "template"), "uses")
     counts = uses.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     recurring = materialize(counts.filter(F.col("n") >= MIN_DOCS).select("template", "first"), "recurring")
     return uses.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("doc", "line")
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All columns of ``docs`` with n_lines, n_dropped and kept, the text without its recurring lines."""
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped", "kept") if c in docs.columns])
-    gone = recurring_lines(docs).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
+    gone = recurring_lines(docs, min_tokens).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     joined = keyed.join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
     names = docs.columns
@@ -239,7 +253,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
                 left = lines
                 if gone:
                     gone = set(gone)
-                    left = [x for x in lines if _digest(masked(x)) not in gone]
+                    left = [x for x in lines if (plain := _reduced(x, min_tokens)) is None or _digest(plain) not in gone]
                 total.append(len(lines))
                 dropped.append(len(lines) - len(left))
                 kept.append(text if len(left) == len(lines) else "\n".join(left))
@@ -252,4 +266,4 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
 
 def op6_line_templates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return drop_recurring(docs, min_tokens=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

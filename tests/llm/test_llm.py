@@ -292,6 +292,16 @@ def test_leaf_templates_generalise():
     assert len(dict(line_templates.leaf_templates([(1, "a b c d", 1), (2, "e f g h", 1)]))) == 2
 
 
+def test_short_lines_recur_verbatim_in_the_query(spark, tmp_path):
+    rows = [(i, f"And ornd.\nPart {i}\n---\n\nAll  rights reserved.\n版权所有\nseen once {'x' * (i + 1)}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in line_templates.op6_line_templates(spark, str(tmp_path)).collect()}
+    assert got[0]["n_dropped"] == 0
+    for i in range(1, 30):
+        left = f"Part {i}\n---\n\nseen once {'x' * (i + 1)}"
+        assert got[i]["n_dropped"] == 3 and got[i]["kept_sha256"] == hashlib.sha256(left.encode()).hexdigest()
+
+
 def plain_templates(lines):
     """The template of each line, by comparing it with all templates so far."""
     found, out = [], {}
