@@ -13,16 +13,25 @@ D + 1 of both). Parts that no other document has can be left out, and with them
 all documents without a partner. Sets that are equal are one class, with one member that
 takes part. Candidates are verified exactly.
 
-Pairs are not listed within groups: of the documents that offer a part, each is checked
-against the group's first. Only where a group still spans several components afterwards,
-its members of different components are checked too, so no link between components is lost.
+Pairs are not listed within groups. Of the documents that offer a part, each is checked
+against the group's first. Where a group still spans several components afterwards, its
+members are compared by a second, larger bit sketch, which grows with the set; of the
+pairs of different components that may be linked the group names a spanning forest, less
+than one pair a member. These are verified, components merged, and groups with a pair
+that turned out wrong go on with at most 16, 256, ... pairs a member that are still open,
+until every pair that may link two components is known not to. So no link between
+components is lost, and pairs are only named between components that are near but not linked.
+Large groups are dealt to tasks in tiles of ``TILE`` members: those of the group's largest
+component meet only the others.
 
 Links need 100 * |intersection| >= 75 * |union|. Words are runs of bytes other than
 space and 0x09-0x0D, lower case in A-Z; a shingle is five of them, or all if fewer.
 
-Defined cases: a null text has no words, no shingles, no links; a null doc_id belongs to
-no component; rows that share a doc_id are one node; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: a null or empty text has no words, no shingles, no links; a very long text is
+one set like any other, its sketch and parts grow with it; a null doc_id belongs to no
+component; rows that share a doc_id are one node, linked by the text of any of them; equal
+texts (ties) are one class; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgene.llm._graph import components
-from loomgene.llm._store import Tidy, answer, ask, finish, materialize, release, shuffle_partitions, to_blocks, with_returns
+from loomgene.llm._store import BLOCK_BYTES, Tidy, answer, ask, finish, materialize, release, shuffle_partitions, to_blocks, with_returns
 from loomgene.llm._words import Routes, expand, mix, narrow, sequences, slices, spread, squeeze
 
 SHINGLE = 5
 LEAST_PARTS = 96
-SKETCH_BITS = 1024
+LEAST_BITS = 1024
 SETS, PARTS = 1, 2
 VERIFY_GROUP = 64
+TILE = 2048
 COUNT_CAP = 255  # counts above order alike; the order of parts stays one and the same everywhere
 
 
@@ -78,14 +88,23 @@ class Sets:
             out.append(mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)))
         return out[0], out[1]
 
-    def bits(self, rows: np.ndarray) -> np.ndarray:
-        """Sketches of SKETCH_BITS bits: each shingle flips one."""
+    def bits(self, rows: np.ndarray) -> list[bytes]:
+        """Bit sketches: each shingle flips one of two to four times as many bits as the set has shingles, LEAST_BITS at least."""
         size = self.size[rows]
-        owner = np.repeat(np.arange(len(rows)), size)
-        value = self.shingles[spread(self.first[rows], size)]
-        bit = (mix(value ^ np.uint64(0x1D8E4E27C47D124F)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-        flips = np.bincount(owner * SKETCH_BITS + bit, minlength=len(rows) * SKETCH_BITS) & 1
-        return np.packbits(flips.astype(np.uint8).reshape(len(rows), SKETCH_BITS), axis=1)
+        width = np.maximum(LEAST_BITS, 4 << np.floor(np.log2(np.maximum(size, 1))).astype(np.int64))
+        out: list[bytes] = [b""] * len(rows)
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            step = max(1, (1 << 18) // int(w))
+            for lo in range(0, len(mine), step):
+                part = mine[lo : lo + step]
+                owner = np.repeat(np.arange(len(part)), size[part])
+                value = self.shingles[spread(self.first[rows[part]], size[part])]
+                bit = (mix(value ^ np.uint64(0x1D8E4E27C47D124F)) & np.uint64(w - 1)).astype(np.int64)
+                flips = np.bincount(owner * w + bit, minlength=len(part) * w) & 1
+                for i, row in zip(part, np.packbits(flips.astype(np.uint8).reshape(len(part), w), axis=1)):
+                    out[i] = row.tobytes()
+        return out
 
     def of(self, i: int) -> np.ndarray:
         return self.shingles[self.first[i] : self.first[i + 1]]
@@ -177,10 +196,10 @@ def _low(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def shared_parts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def shared_parts(docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of documents (doc_id, n_shingles, class_id, and text and bit sketch of those that offer parts) and rows of offered parts (bucket, payload)."""
     n = buckets or shuffle_partitions(docs.sparkSession)
-    blocks = to_blocks(docs.select("doc_id", "text"))
+    blocks = to_blocks(docs.select("doc_id", "text"), block_bytes=block_bytes)
 
     def ask_sets(_block, rows, _returns):
         sets = Sets(rows.column("text"))
@@ -226,9 +245,7 @@ def shared_parts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         text = rows.column("text").cast(pa.string())
         sketch = np.full(m, None)
         picked = np.flatnonzero(offering)
-        for a in range(0, len(picked), 256):
-            part = picked[a : a + 256]
-            sketch[part] = [x.tobytes() for x in sets.bits(part)]
+        sketch[picked] = sets.bits(picked)
         columns = [
             pa.concat_arrays([rows.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())]),
             pa.concat_arrays([pa.array(sets.size, pa.int64()), pa.nulls(k, pa.int64())]),
@@ -265,48 +282,132 @@ def star_pairs(posts: DataFrame) -> DataFrame:
     return posts.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
-def open_pairs(posts: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of different components that offer one part, and that could be linked: by their sizes, by the part's rank
-    among their parts (with D differences a common part is among the first D + 1 of both), and by their bit sketches."""
+def offers(posts: DataFrame) -> DataFrame:
+    """(key, id): each document with each part that it offers."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
-                key, ids, size, rank = (x.astype(np.int64) for x in expand(payload))
-                yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + key), pa.array(ids), pa.array(size), pa.array(rank)], names=["key", "id", "n", "rank"])
+                key, ids = (x.astype(np.int64) for x in expand(payload)[:2])
+                yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + key), pa.array(ids)], names=["key", "id"])
 
-    slots = 8 * shuffle_partitions(posts.sparkSession)
-    rows = posts.select("bucket", "payload").mapInArrow(Tidy(unpack), "key long, id long, n long, rank long")
+    return posts.select("bucket", "payload").mapInArrow(Tidy(unpack), "key long, id long").distinct()
+
+
+def open_groups(rows: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """(key, pair, side, id, component, lead): members of the groups that span components, dealt to tiles.
+
+    Groups with the same members are taken once. Members outside the largest component meet all, in tiles by twos; those
+    in it meet only the others. A group of up to ``tile`` members on either side is one tile (side 0).
+    """
     named = rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spans = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    wide = named.join(spans, "key", "left_semi").join(sketches.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
+    each = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"))
+    spans = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("top"), F.bit_xor("mark").alias("mark")).filter("parts > 1")
+    alone = spans.groupBy("members", "mark").agg(F.min(F.struct("key", "top")).alias("g"))
+    tiles = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    groups = alone.select(F.col("g.key").alias("key"), F.col("g.top.component").alias("lead"), tiles(F.col("members") - F.col("g.top.n")).alias("small"), tiles(F.col("g.top.n")).alias("large"))
+    joined = named.join(groups, "key")
+    one = F.col("small") + F.col("large") <= 2
+    t = F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("component") == F.col("lead"), F.col("large")).otherwise(F.col("small"))).cast("int")
+    place = lambda pair, side: F.struct(pair.cast("long").alias("pair"), side.cast("int").alias("side"))
+    zero, width = F.lit(0), F.col("small") + F.col("large")
+    outside = F.transform(
+        F.sequence(zero, width - 1),
+        lambda u: place(F.least(t, u) * width + F.greatest(t, u), F.when(u == t, zero).when(u > t, F.lit(1)).otherwise(F.lit(2))),
+    )
+    inside = F.transform(F.sequence(zero, F.col("small") - 1), lambda u: place(u * width + F.col("small") + t, F.lit(2)))
+    dealt = F.when(one, F.array(place(zero, zero))).when(F.col("component") == F.col("lead"), inside).otherwise(outside)
+    return joined.withColumn("at", F.explode(dealt)).select("key", "at.pair", "at.side", "id", "component", "lead")
+
+
+def fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width, the least of theirs: the halves of a parity sketch, XORed, are the sketch of half the width."""
+    width = min(map(len, sketches))
+    out = []
+    for x in sketches:
+        row = np.frombuffer(x, np.uint64)
+        while 8 * len(row) > width:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out.append(row)
+    return np.stack(out)
+
+
+def named_pairs(ids, size, label, side, lead, sketch, failed, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of places that join members of different labels, of all that fit by size and sketch and didn't fail; and whether there may be more.
+
+    With ``most`` = 0 a spanning forest of them, else up to so many for each member outside the label ``lead``.
+    """
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], label[order].copy()
+    left = len(np.unique(label))
+    out, more = [], most == 0
+    for i in np.flatnonzero(label != lead):
+        if left == 1:
+            break
+        # Partners are a third larger or smaller at most.
+        lo, hi = np.searchsorted(size, [-(-3 * size[i] // 4), 4 * size[i] // 3 + 1])
+        j = np.arange(lo, hi)
+        j = j[label[j] != label[i]]
+        if side is not None:
+            s = side[order[j]]
+            j = j[(s == 0) | (s != side[order[i]])]
+        if not len(j):
+            continue
+        row = sketch[order[i]]
+        near = np.concatenate([np.bitwise_count(sketch[order[c]] ^ row).sum(axis=1, dtype=np.int64) for c in np.array_split(j, 1 + len(j) * len(row) // (1 << 19))])
+        j = j[near <= (size[i] + size[j]) // 7]
+        if len(j) and (not_linked := failed.get(int(ids[order[i]]))):
+            j = j[~np.isin(ids[order[j]], not_linked)]
+        if most:
+            out += [(int(order[i]), int(order[k])) for k in j[:most]]
+            more |= len(j) > most
+            continue
+        for other, first in zip(*np.unique(label[j], return_index=True)):
+            out.append((int(order[i]), int(order[j[first]])))
+            label[label == other] = label[i]
+            left -= 1
+    return out, more
+
+
+def open_pairs(groups: DataFrame, sketches: DataFrame, failed: DataFrame | None, most: int = 0) -> DataFrame:
+    """(key, a, b, low, high, more): pairs of documents that may link the components low and high, as in ``named_pairs``."""
+    slots = 8 * shuffle_partitions(groups.sparkSession)
+    wide = groups.join(sketches.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.pmod(F.xxhash64("key", "pair"), F.lit(slots)))
+    if failed is None:
+        wide = wide.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        ways = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        wide = wide.join(ways.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
+    columns = ("key", "pair", "side", "id", "component", "lead", "n_shingles")
 
     def cross(table: pa.Table) -> pa.Table:
-        key, ids, size, rank, label = (np.asarray(table.column(c)) for c in ("key", "id", "n", "rank", "component"))
-        order = np.lexsort((ids, size, key))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)[order]
-        key, ids, size, rank, label = key[order], ids[order], size[order], rank[order], label[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        end = np.repeat(np.r_[head[1:], len(key)], np.diff(np.r_[head, len(key)]))
-        pairs, held = [], 0
-        for i in range(len(key) - 1):
-            # Sizes rise within a group: partners stand behind, up to a third larger.
-            j = np.arange(i + 1, i + 1 + np.searchsorted(size[i + 1 : end[i]], 4 * size[i] // 3, "right"))
-            most = (size[i] + size[j]) // 7
-            j, most = (x[(label[j] != label[i]) & (np.maximum(rank[i], rank[j]) <= most)] for x in (j, most))
-            if len(j):
-                j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most]
-            if len(j):
-                pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-                held += len(j)
-                if held > 1_000_000:
-                    pairs = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
-                    held = 0
-        out = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+        key, pair, side, ids, label, lead, size = (np.asarray(table.column(c)) for c in columns)
+        order = np.lexsort((ids, pair, key))
+        new = (key[order][1:] != key[order][:-1]) | (pair[order][1:] != pair[order][:-1])
+        out = []
+        for at in np.split(order, np.flatnonzero(new) + 1):
+            if (label[at] == label[at[0]]).all():
+                continue
+            held = table.take(pa.array(at))
+            sketch = fold(held.column("sketch").to_pylist())
+            wrong = {i: x for i, x in zip(held.column("id").to_pylist(), held.column("failed").to_pylist()) if x}
+            apart = side[at] if side[at].any() else None
+            pairs, more = named_pairs(ids[at], size[at], label[at], apart, lead[at[0]], sketch, wrong, most)
+            for i, j in pairs:
+                (a, la), (b, lb) = sorted([(ids[at[i]], label[at[i]]), (ids[at[j]], label[at[j]])])
+                out.append((key[at[0]], a, b, min(la, lb), max(la, lb), int(more)))
         release()
-        return pa.table({"a": out[0].astype(np.int64), "b": out[1].astype(np.int64)})
+        return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip(("key", "a", "b", "low", "high", "more"), zip(*out) if out else [[]] * 6)})
+
+    return wide.select("slot", *columns, "sketch", "failed").groupBy("slot").applyInArrow(cross, "key long, a long, b long, low long, high long, more long")
 
-    return wide.groupBy("slot").applyInArrow(cross, "a long, b long").distinct()
+
+def merge(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """Labels (node, component) after components (low, high) were found to be linked."""
+    found = components(linked.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    step = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(found.join(labels, "node", "left_anti"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,33 +422,63 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         table = table.combine_chunks()
         sets = Sets(table.column("text"))
         a, ids = np.asarray(table.column("a")), np.asarray(table.column("id"))
-        lead = {int(a[i]): i for i in np.flatnonzero(a == ids)}
-        out = []
+        lead: dict[int, list[int]] = {}
+        for i in np.flatnonzero(a == ids):
+            lead.setdefault(int(a[i]), []).append(int(i))
+        out = set()
         for i in np.flatnonzero(a != ids):
-            x, y = sets.of(lead[int(a[i])]), sets.of(int(i))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= 75 * (len(x) + len(y) - both):
-                out.append(i)
+            y = sets.of(int(i))
+            for k in lead[int(a[i])]:
+                x = sets.of(k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    out.add((int(a[i]), int(ids[i])))
+                    break
         del sets
         release()
-        return pa.table({"a": a[out], "b": ids[out]})
+        return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip("ab", zip(*sorted(out)) if out else [[]] * 2)})
 
     return left.unionByName(right).groupBy("slot").applyInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def linked_components(posts: DataFrame, sketches: DataFrame, texts: DataFrame, same: DataFrame, tile: int = TILE) -> DataFrame:
+    """(node, component) of all documents with a link, or with an equal set (``same``: pairs a, b)."""
+    links = materialize(verify(star_pairs(posts), texts), "links")
+    labels = materialize(components(links.unionByName(same)), "labels")
+    rows, failed, most = materialize(offers(posts), "offers"), None, 0
+    while True:
+        open_ = materialize(open_pairs(open_groups(rows, labels, tile), sketches, failed, most), "open")
+        if open_.isEmpty():
+            return labels
+        if failed is None:
+            # At first one pair of two components will do: most are linked.
+            tried = open_.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "low", "high")
+        else:
+            tried = open_.groupBy("a", "b").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+        tried = materialize(tried, "tried")
+        good = materialize(verify(tried.select("a", "b"), texts), "links")
+        wrong = tried.select("a", "b").join(good, ["a", "b"], "left_anti")
+        failed = materialize(wrong if failed is None else failed.unionByName(wrong), "failed")
+        labels = materialize(merge(labels, tried.join(good, ["a", "b"], "left_semi")), "labels")
+        # Groups whose named pairs are all in one component by now, or were all that fit, have nothing left to compare.
+        most = 16 * most or 16
+        for end in ("low", "high"):
+            open_ = open_.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_now")), end, "left")
+        still = open_.filter((F.coalesce("low_now", "low") != F.coalesce("high_now", "high")) & (F.col("more") > 0)).select("key").distinct()
+        rows = materialize(rows.join(still, "key", "left_semi"), "offers")
+        if rows.isEmpty():
+            return labels
+
+
+def near_duplicates(docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    table = materialize(shared_parts(docs, buckets), "parts")
+    table = materialize(shared_parts(docs, buckets, block_bytes), "parts")
     posts = table.filter("payload IS NOT NULL").select("bucket", "payload")
-    offering = table.filter("text IS NOT NULL").dropDuplicates(["doc_id"])
-    texts, sketches = offering.select("doc_id", "text"), offering.select("doc_id", "sketch")
-    first = materialize(star_pairs(posts), "pairs")
-    links = materialize(verify(first, texts), "links")
-    labels = components(links)
-    more = open_pairs(posts, labels, sketches).join(first, ["a", "b"], "left_anti")
-    # Rows that share an id are one node, whatever their sets.
+    offering = table.filter("text IS NOT NULL")
+    # Rows that share an id are one node, which all their texts stand for.
+    texts, sketches = offering.select("doc_id", "text"), offering.select("doc_id", "n_shingles", "sketch")
     same = table.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.unionByName(verify(more, texts)).unionByName(same))
+    labels = linked_components(posts, sketches, texts, same, tile)
     rows = table.filter("payload IS NULL").select("doc_id", "n_shingles")
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

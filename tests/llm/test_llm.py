@@ -145,6 +145,41 @@ def test_links_near_the_threshold(spark):
     assert got == brute_components(dict(rows))
 
 
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_links_between_members_of_one_group(spark, monkeypatch, tile):
+    """Clusters of texts near the threshold, whose first member isn't linked with all: pairs of others must be found."""
+    rng, texts = random.Random(21), []
+    for n in (40, 90, 700):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(24):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(3, n // 28))):
+                copy[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    work = []
+    plain = parity_join.verify
+    monkeypatch.setattr(parity_join, "verify", lambda pairs, held: work.append(pairs.count()) or plain(pairs, held))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(docs, tile=tile).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+    assert len(work) > 1 and work[1] > 0
+
+
+def test_larger_sketches_fold_to_smaller_ones(spark):
+    rng = random.Random(2)
+    sets = parity_join.Sets(__import__("pyarrow").array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (100, 300, 1500, 6000)]))
+    wide = parity_join.Sets.bits(sets, np.arange(4))
+    assert [8 * len(x) for x in wide] == [1024, 1024, 4096, 16384]
+    assert (parity_join.fold(wide[2:])[1] == parity_join.fold([wide[3], wide[2]])[0]).all()
+
+
+def test_rows_of_one_id_are_linked_by_any_text(spark):
+    say = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, say("a")), (1, say("b")), (2, say("b") + " more"), (3, say("a") + " more"), (4, say("c")), (None, say("a"))]
+    got = {(r["doc_id"], r["component_id"]) for r in parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
