@@ -1,23 +1,36 @@
-"""Benchmark decontamination by seeds and exact edit distance.
+"""Benchmark decontamination by embedded edit distance.
 
 A document leaks an item if some stretch of its words is within ``MAX_EDIT`` of the
-item's length in word edits. Every stretch that may be so is verified exactly: first
-whether it is, by a bit-parallel search, then where and how far, by the full table.
+item's length in word edits. Windows of the item's size are embedded by the CGK random
+walk, which maps edit distance to Hamming distance; each repetition samples a few steps
+of a walk as an LSH key. Windows that share a key with their item are verified exactly:
+first whether an edit distance is low enough, by a bit-parallel search, then where and
+how far, by the full table.
+
+Walks drift further apart in longer items, so samples and repetitions are set by length:
+pairs at the largest distance are simulated, and the most samples are taken with which
+few repetitions reach ``TARGET_RECALL`` there. Leaks with fewer edits are found more surely.
+Where ``MAX_REPEATS`` keys of one sample don't reach it (items of many thousand words)
+every window counts as one that shares a key.
 
 A stretch within e edits of an item holds one of the item's runs of L div (e + 1)
 words unchanged (pigeonhole), and of its runs of k words at least L + 1 - k (e + 1), at
-places shifted by at most e; only stretches around so many runs are verified, and this
-leaves out no leak, whatever the item's length. Documents are scanned once, in place: nothing is shuffled. Items
+places shifted by at most e; only windows around so many runs are embedded, and this
+leaves out no leak. Documents are scanned once, in place: nothing is shuffled. Items
 are sent to the executors in blocks of bounded size, a scan for each block.
 
 Words are runs of letters and digits, lower case in A-Z. Defined cases: null or empty
-texts and items leak nothing, nor do items without an id; of repeated items each is
-reported once by id; repeated documents are each reported; an empty table gives an
-empty result; other columns are ignored.
+texts and items leak nothing, nor do items without an id; very long texts are read whole, a
+slice at a time unless one text is longer; of repeated items each is reported once by id;
+repeated documents are each reported; of equally near stretches (ties) the first counts, and
+of those the shortest; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +39,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgene.llm._store import Tidy
-from loomgene.llm._words import SIGNS, Words, buffers, sequences, slices, spread
+from loomgene.llm._words import SIGNS, Words, buffers, mix, sequences, slices, spread
 
 MAX_EDIT = 0.2
+TARGET_RECALL = 0.999
+MOST_SAMPLES = 4
+FEW_REPEATS = 32
+MAX_REPEATS = 256
 SEED_WORDS = 4
+WINDOWS = 20_000
 ITEM_BLOCK_BYTES = 8 << 20
 LEAKS = "doc_id long, item_id long, distance int, start_word long, n_words int, item_words int"
 
 
+class Walk:
+    """One repetition: the steps that are sampled, and a random function per step that tells by a word whether the walk moves on."""
+
+    def __init__(self, repeat: int, size: int, samples: int, seed: int = 71):
+        # What a walk does depends on repetition and step only, never on the other windows of a call.
+        name = np.uint64((seed * 1000 + repeat) << 32)
+        shares = (mix(np.arange(samples, dtype=np.uint64) + name) >> np.uint64(11)).astype(float) / 2**53
+        self.when = sorted((shares * 2 * size).astype(np.int64).tolist())
+        self.odd = mix(np.arange(self.when[-1] + 1, dtype=np.uint64) + name + np.uint64(1 << 31)) | np.uint64(1)
+
+    def keys(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, beyond: int) -> np.ndarray:
+        """A key for each window from start to end; past its end a walk reads ``beyond``."""
+        held, at = np.r_[words, np.uint64(beyond)], start.copy()
+        key = np.full(len(start), 1, np.uint64)
+        for t, odd in enumerate(self.odd):
+            word = held[np.where(at < end, at, len(words))]
+            for _ in range(self.when.count(t)):
+                key = mix(key * np.uint64(0xD1342543DE82EF95) + word)
+            at += ((word * odd) >> np.uint64(63)).astype(np.int64)
+        return key
+
+
+@functools.lru_cache(maxsize=None)
+def repetitions(size: int, max_edit: float, recall: float = TARGET_RECALL, trials: int = 200, repeats: int = 64) -> tuple[int, int] | None:
+    """(samples per key, keys) for items of ``size`` words, from simulated pairs at the largest distance; None if MAX_REPEATS keys don't do."""
+    edits = int(size * max_edit + 1e-9)
+    rng = np.random.default_rng([11, size, edits])
+    fresh = lambda n: rng.integers(1, 2**62, n)
+    left, right = [], []
+    for _ in range(trials):
+        item = fresh(size).tolist()
+        left += item
+        for kind, word in zip(rng.integers(0, 3, edits), fresh(edits).tolist()):
+            at = int(rng.integers(len(item)))
+            item[at : at + (kind != 1)] = [word] if kind < 2 else []
+        right += [*item, *fresh(edits).tolist()][:size]
+    start = np.arange(trials) * size
+    left, right = np.array(left, np.uint64), np.array(right, np.uint64)
+    for samples in range(MOST_SAMPLES, 0, -1):
+        walks = [Walk(r, size, samples) for r in range(repeats)]
+        same = sum((w.keys(left, start, start + size, 0) == w.keys(right, start, start + size, 2**63)).astype(float) for w in walks)
+        miss = 1 - (same + 0.5) / (repeats + 1)
+        for r in range(1, (FEW_REPEATS if samples > 1 else MAX_REPEATS) + 1):
+            if 1 - (miss**r).mean() >= recall:
+                return samples, r
+    return None
+
+
+def plan_size(size: int) -> int:
+    """The length whose plan serves ``size``: lengths grow by a quarter, so plans are few."""
+    out = 5
+    while out < size:
+        out = 5 * math.ceil(out / 4)
+    return out
+
+
 def within(pattern: list[int], text: list[int], edits: int) -> bool:
     """Whether some stretch of ``text`` is within ``edits`` of ``pattern``, by a column of the table in one number (Myers)."""
     if not pattern:
@@ -113,7 +187,7 @@ def _matches(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(wanted)), hi - lo), spread(lo, hi - lo)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = TARGET_RECALL, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it leaks: the least distance, and where its first best stretch lies."""
     if not 0 <= max_edit < 0.5:
         raise ValueError("max_edit must be at least 0 and below 0.5")
@@ -127,19 +201,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, bl
         for row in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").toLocalIterator():
             ids.append(row["item_id"])
             texts.append(row["text"])
-        part = _scan(docs, context.broadcast((ids, texts)), max_edit)
+        plans = {int(n): repetitions(plan_size(int(n)), max_edit, recall) for n in np.unique(Items(ids, texts, max_edit).size)}
+        part = _scan(docs, context.broadcast((ids, texts, plans)), max_edit)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def _scan(docs: DataFrame, sent, max_edit: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*sent.value, max_edit)
+        *rows, plans = sent.value
+        items = Items(*rows, max_edit)
         for batch in batches:
             ids = batch.column(0)
             for lo, _, words in slices(batch.column(1), True, space=SIGNS):
                 if len(items.ids) and len(words):
-                    yield from verify(items, words, words.hashes(), ids, lo)
+                    yield from verify(items, words, words.hashes(), ids, lo, plans)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Tidy(run), LEAKS)
 
@@ -176,10 +252,41 @@ def seeded(items: Items, words: Words, hashes: np.ndarray) -> Iterator[tuple[int
         yield from zip(doc[head].tolist(), item[head].tolist(), low[head].tolist(), high[tail].tolist())
 
 
-def verify(items: Items, words: Words, hashes: np.ndarray, ids: pa.Array, lo: int) -> Iterator[pa.RecordBatch]:
-    """Exact distances of the documents of a slice whose stretches are near enough."""
+def embedded(items: Items, words: Words, hashes: np.ndarray, plans: dict) -> Iterator[tuple[int, int, int, int]]:
+    """Of the seeded stretches those with a window that shares an LSH key with its item."""
+    spots = np.array(list(seeded(items, words, hashes)), np.int64).reshape(-1, 4)
+    for n in np.unique(items.size[spots[:, 1]]):
+        mine = spots[items.size[spots[:, 1]] == n]
+        if (plan := plans[int(n)]) is None:
+            yield from mine.tolist()
+            continue
+        # A leak may be shorter than its item by all its edits.
+        count = np.maximum(1, mine[:, 3] - mine[:, 2] - n + items.edits[mine[:, 1]] + 1)
+        part = np.cumsum(count) // WINDOWS
+        for p in np.unique(part):
+            some, left = mine[part == p], count[part == p]
+            start, owner = spread(some[:, 2], left), np.repeat(np.arange(len(some)), left)
+            end = np.minimum(start + n, words.first[some[:, 0] + 1][owner])
+            kinds, of = np.unique(some[:, 1], return_inverse=True)
+            met = np.zeros(len(some), bool)
+            for r in range(plan[1]):
+                walk = Walk(r, int(n), plan[0])
+                first = items.first[kinds]
+                item_keys = walk.keys(items.words, first, first + n, 0)
+                hit = walk.keys(hashes, start, end, 1 << 63) == item_keys[of[owner]]
+                if hit.any():
+                    met[owner[hit]] = True
+                    stay = ~met[owner]
+                    start, end, owner = start[stay], end[stay], owner[stay]
+                    if not len(start):
+                        break
+            yield from some[met].tolist()
+
+
+def verify(items: Items, words: Words, hashes: np.ndarray, ids: pa.Array, lo: int, plans: dict) -> Iterator[pa.RecordBatch]:
+    """Exact distances of the documents of a slice whose windows share a key with an item."""
     best: dict[tuple, tuple] = {}
-    for d, item, low, high in seeded(items, words, hashes):
+    for d, item, low, high in embedded(items, words, hashes, plans):
         pattern, text = items.words[items.first[item] : items.first[item] + items.size[item]], hashes[low:high]
         if within(pattern.tolist(), text.tolist(), int(items.edits[item])):
             distance, i, j = best_stretch(pattern, text)

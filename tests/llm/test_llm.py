@@ -424,6 +424,40 @@ def test_every_leak_at_the_largest_distance_is_found(spark, size):
     assert {(n, n % 5) for n, _ in rows} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
 
 
+def test_leaks_equal_brute_force_on_awkward_rows(spark):
+    """Repeated items and rows, ties, a very long text, clashing columns; distances by brute force over all stretches."""
+    rng = random.Random(12)
+    voc = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(voc) for _ in range(k))
+    items = [(i, say(rng.randrange(1, 25)), "x") for i in range(12)] + [(3, "other words of item three", "x"), (20, say(3), "y"), (21, None, "y")]
+    items += [(22, items[0][1], "z"), items[1]]
+    rows = [(n, say(rng.randrange(25)) + " " + plant(rng, items[n % 12][1], rng.randrange(6), voc) + " " + say(rng.randrange(25)), 1, "q") for n in range(80)]
+    rows += [(100, f"{items[4][1]} {say(5)} {items[4][1]}", 2, "q"), (101, say(60_000) + " " + items[7][1] + " " + say(2_000), 2, "q"), rows[0], (None, items[5][1], 0, "q"), (102, None, 0, None)]
+    found = edit_leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string, item_id long, distance string"), spark.createDataFrame(items, "item_id long, text string, doc_id string"))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
+    want = {}
+    for doc, text, *_ in rows:
+        if doc == 101 or not text:
+            continue
+        words = text.split()
+        for item, t, _ in items:
+            if t:
+                p, row = t.split(), [0] * (len(words) + 1)
+                for i, x in enumerate(p, 1):
+                    last, row = row, [i]
+                    for j, y in enumerate(words, 1):
+                        row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+                if min(row) <= int(0.2 * len(p) + 1e-9):
+                    want[doc, item] = min(want.get((doc, item), 99), min(row))
+    assert {k: v for k, v in got.items() if k[0] != 101} == want and got[101, 7] == 0
+
+
+def test_leaks_need_few_repetitions():
+    plans = [edit_leaks.repetitions(n, 0.2) for n in (5, 25, 100, 400)]
+    assert all(p and p[1] <= edit_leaks.MAX_REPEATS for p in plans) and plans[0][0] >= plans[-1][0] == 1
+    assert all(edit_leaks.plan_size(n) >= n for n in range(1, 900))
+
+
 def test_within_equals_best_stretch():
     rng = np.random.default_rng(4)
     for _ in range(300):
