@@ -189,22 +189,51 @@ def _matches(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def find_leaks(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, recall: float = TARGET_RECALL, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it leaks: the least distance, and where its first best stretch lies."""
+    found = None
+    for sent in _item_blocks(items, max_edit, recall, block_bytes):
+        part = _scan(docs, sent, max_edit)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def mark_leaks(docs: DataFrame, items: DataFrame, name: str = "n_leaks", max_edit: float = MAX_EDIT, recall: float = TARGET_RECALL, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+    """All rows and columns of ``docs``, in place, with the number of items that each row leaks; a column called ``name`` is replaced."""
+    out = docs.drop(name).withColumn(name, F.lit(0).cast("long"))
+    place = out.columns.index("text")
+    for sent in _item_blocks(items, max_edit, recall, block_bytes):
+        out = out.mapInArrow(Tidy(_marker(sent, max_edit, place)), out.schema)
+    return out
+
+
+def _marker(sent, max_edit: float, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *rows, plans = sent.value
+        items = Items(*rows, max_edit)
+        for batch in batches:
+            count = np.asarray(batch.column(batch.num_columns - 1)).copy()
+            for lo, _, words in slices(batch.column(place), True, space=SIGNS):
+                if len(items.ids) and len(words):
+                    for row, _ in verify(items, words, words.hashes(), plans):
+                        count[lo + row] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count)], schema=batch.schema)
+
+    return run
+
+
+def _item_blocks(items: DataFrame, max_edit: float, recall: float, block_bytes: int) -> Iterator:
+    """Broadcast items in blocks of bounded size, with the repetitions for their lengths."""
     if not 0 <= max_edit < 0.5:
         raise ValueError("max_edit must be at least 0 and below 0.5")
-    context = docs.sparkSession.sparkContext
     rows = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    found = None
     for b in range(n_blocks):
         ids, texts = [], []
         for row in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").toLocalIterator():
             ids.append(row["item_id"])
             texts.append(row["text"])
         plans = {int(n): repetitions(plan_size(int(n)), max_edit, recall) for n in np.unique(Items(ids, texts, max_edit).size)}
-        part = _scan(docs, context.broadcast((ids, texts, plans)), max_edit)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield items.sparkSession.sparkContext.broadcast((ids, texts, plans))
 
 
 def _scan(docs: DataFrame, sent, max_edit: float) -> DataFrame:
@@ -214,8 +243,11 @@ def _scan(docs: DataFrame, sent, max_edit: float) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo, _, words in slices(batch.column(1), True, space=SIGNS):
-                if len(items.ids) and len(words):
-                    yield from verify(items, words, words.hashes(), ids, lo, plans)
+                if not len(items.ids) or not len(words):
+                    continue
+                if found := [(ids[lo + row].as_py(), *leak) for row, leak in verify(items, words, words.hashes(), plans)]:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["doc_id", "item_id", "distance", "start_word", "n_words", "item_words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(Tidy(run), LEAKS)
 
@@ -283,22 +315,17 @@ def embedded(items: Items, words: Words, hashes: np.ndarray, plans: dict) -> Ite
             yield from some[met].tolist()
 
 
-def verify(items: Items, words: Words, hashes: np.ndarray, ids: pa.Array, lo: int, plans: dict) -> Iterator[pa.RecordBatch]:
-    """Exact distances of the documents of a slice whose windows share a key with an item."""
-    best: dict[tuple, tuple] = {}
-    for d, item, low, high in embedded(items, words, hashes, plans):
+def verify(items: Items, words: Words, hashes: np.ndarray, plans: dict) -> list[tuple[int, tuple]]:
+    """(row, (item id, distance, first word, words, the item's words)) of the documents of a slice whose windows share a key with an item."""
+    best: dict[tuple[int, int], tuple] = {}
+    for row, item, low, high in embedded(items, words, hashes, plans):
         pattern, text = items.words[items.first[item] : items.first[item] + items.size[item]], hashes[low:high]
         if within(pattern.tolist(), text.tolist(), int(items.edits[item])):
             distance, i, j = best_stretch(pattern, text)
-            doc = ids[lo + d].as_py()
-            key = (doc, d if doc is None else 0, int(items.ids[item]))
-            value = (distance, low - int(words.first[d]) + i, j - i, int(items.size[item]))
+            key, value = (row, int(items.ids[item])), (distance, low - int(words.first[row]) + i, j - i, int(items.size[item]))
             if key not in best or value < best[key]:
                 best[key] = value
-    if best:
-        columns = list(zip(*[(k[0], k[2], *v) for k, v in best.items()]))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "distance", "start_word", "n_words", "item_words"])
+    return [(row, (item, *value)) for (row, item), value in best.items()]
 
 
 def op8_edit_leaks(spark, sf_dir: str) -> DataFrame:
