@@ -542,3 +542,81 @@ def test_pipeline(spark, data):
     assert corpus_pipeline.STAGES[-1][1](spark, at, data).count() == kept
     left = parity_join.near_duplicates(at)
     assert left.filter("doc_id <> component_id").count() == 0 and edit_leaks.find_leaks(at, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
+
+
+AWKWARD = "doc_id long, text string, lang string, score double, held_out boolean, lang_pred string, foreign double, kept string, n_lines long, n_dropped long, n_leaks long, __leaks string, component_id string, n_chars int"
+
+
+def awkward(spark, rows):
+    return spark.createDataFrame([(i, t, lang, 0.25, True, "p", 2.0, "k", 7, 8, 9, "l", "c", len(t or "")) for i, t, lang in rows], AWKWARD)
+
+
+def plain(df):
+    return sorted([tuple(r) for r in df.collect()], key=repr)
+
+
+@pytest.fixture
+def bench_dir(spark, tmp_path):
+    spark.createDataFrame([(1, "seven sharp pins stuck in one red pillow case tonight"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_keep_all_columns_and_empty_tables(spark, bench_dir):
+    import corpus_pipeline
+
+    rows = [(i, f"the quick brown fox number {w} ran over a lazy dog and slept in the sun", "en") for i, w in enumerate("one two three".split())]
+    docs = awkward(spark, rows[:1] + [(5, "totally different words stand here in this second long line of text", "en"), (None, "and a third one without any id at all, which is still a document", None)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, bench_dir)
+        assert out.columns == docs.columns and plain(out) == plain(docs), name
+        assert stage(spark, docs.limit(0), bench_dir).count() == 0
+    assert corpus_pipeline.tokenize(spark, docs.limit(0), bench_dir).count() == 0 and corpus_pipeline.tokenize(spark, docs, bench_dir).count() == 3
+
+
+def test_near_duplicate_stage_without_or_with_repeated_ids(spark, bench_dir):
+    import corpus_pipeline
+
+    say = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, say("a")), (4, say("a") + " more"), (None, say("a")), (None, say("b")), (None, say("b")), (None, say("b") + " more"), (2, say("c")), (2, say("d")), (2, say("d")), (7, say("d")), (8, None), (8, None), (None, ""), (None, ""), (9, say("e", 3000)), (10, say("e", 3000))]
+    docs = awkward(spark, [(i, t, "en") for i, t in rows])
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, bench_dir).collect())
+    b = [t for i, t in got if i is None and t]
+    assert len(b) == 1 and b[0].startswith(say("b"))
+    del got[None, b[0]]
+    assert got == {(1, say("a")): 1, (2, say("c")): 1, (7, say("d")): 1, (8, None): 2, (None, ""): 2, (9, say("e", 3000)): 1}
+
+
+def test_decontaminate_stage_judges_each_row(spark, bench_dir):
+    import corpus_pipeline
+
+    item = "seven sharp pins stuck in one red pillow case tonight"
+    rows = [(None, "x " + item), (None, "clean words only"), (3, item.upper() + "!"), (3, "clean again"), (4, None), (5, ""), (6, "w " * 50_000 + item.replace("one", "two")), (6, "y")]
+    out = corpus_pipeline.decontaminate(spark, awkward(spark, [(i, t, "en") for i, t in rows]), bench_dir)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(rows[k] for k in (1, 3, 4, 5, 7))
+
+
+def test_line_stage_equals_brute_force_on_equal_lines(spark, bench_dir):
+    """Lines that recur verbatim and share no other template, in at least 20 documents, are cut from all but the first."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    hot = [f"{w} lines come back here and there" for w in ("some", "other", "all")] + ["ok then", "=====", "漢字"]
+    rows = []
+    for i in range(80):
+        own = [" ".join("".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(rng.randrange(4, 9))) for _ in range(rng.randrange(3))]
+        rows.append((i if i % 9 else None, "\n".join(own + [h for h in hot if rng.random() < 0.6])))
+    rows += rows[:6] + [(200, "a very long line " * 30_000), (201, None), (202, "")]
+    ids = lambda i: -1 if i is None else i
+    having = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            having[line].add(ids(i))
+    cut = lambda i, line: line in hot and any(map(str.isalpha, line)) and len(having[line]) >= 20 and ids(i) != min(having[line])
+    want = Counter()
+    for i, t in rows:
+        lines = t.split("\n") if t is not None else []
+        left = [x for x in lines if not cut(i, x)]
+        if len(left) == len(lines) or "".join(left).strip():
+            want[i, None if t is None else "\n".join(left), len(t or "") if len(left) == len(lines) else len("\n".join(left))] += 1
+    out = corpus_pipeline.line_dedup(spark, awkward(spark, [(i, t, "en") for i, t in rows]), bench_dir)
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == want
