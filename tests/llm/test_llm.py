@@ -509,6 +509,43 @@ def test_shards(spark, docs, rows, none, twice, tmp_path):
     assert back.count() == len(rows) + 25 and back.select("shard").distinct().count() == 3 and "text" in back.columns
 
 
+def test_shards_hold_whole_records_whatever_the_partitions(spark, docs, none, tmp_path, monkeypatch):
+    """Slot by slot the same records for other partitions, hot groups of equal rows spread over buckets, clashing names kept."""
+    monkeypatch.setattr(shuffle_shards, "HOT_ROWS", 10)
+    monkeypatch.setattr(shuffle_shards, "COPIES_PER_ROW", 16)
+    rows = docs.select("doc_id", "text", "lang", F.lit("mine").alias("shard"), F.lit(1).alias("Slot"))
+    same = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("mine").alias("shard"), F.lit(1).alias("Slot"))
+    rows = rows.unionByName(same).unionByName(rows.limit(0))
+    found = []
+    for k, parts in enumerate((2, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = shuffle_shards.write_shards(rows.repartition(parts), str(tmp_path / f"s{k}"), 5, bucket_rows=16)
+            assert out.columns == ["doc_id", "text", "lang", "shard", "Slot", "slot_", "shard_"]
+            found.append(sorted(map(tuple, out.collect()), key=repr))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and {r[3] for r in found[0]} == {"mine"}
+    sizes = Counter(r[-1] for r in found[0])
+    assert len(found[0]) == rows.count() and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r[-2] for r in found[0] if r[-1] == s) == list(range(sizes[s]))
+    assert Counter(r[:3] for r in found[0]) == Counter((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
+    placed = shuffle_shards.placed_records(rows, 1, 16, 1 << 30).filter("__record.doc_id IS NULL").groupBy("__bucket").count().collect()
+    assert len(placed) > 10 and max(r["count"] for r in placed) < 40
+    assert shuffle_shards.write_shards(none, str(tmp_path / "none"), 3).count() == 0
+
+
+def test_places_of_a_bucket_are_uniform(spark):
+    """Chi-square of the place of each of 8 records over seeds, against a uniform permutation."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string").cache()
+    seen, runs = np.zeros((8, 8)), 40
+    for seed in range(runs):
+        for r in shuffle_shards.assign_shards(docs, 1, seed=seed).collect():
+            seen[r["doc_id"], r["slot"]] += 1
+    assert seen.sum() == 8 * runs and ((seen - runs / 8) ** 2 / (runs / 8)).sum() < 95  # 49 degrees of freedom
+
+
 def test_licences(spark, none):
     mit = "MIT License\n\nCopyright (c) 2020 A.\n\n" + ". ".join(s for n, s in license_rules.SENTENCES if n in ("MitGrant", "MitNotice", "AsIsSoftware", "AuthorsNotLiable")) + "."
     rows = [(1, mit), (2, "Hello.\nReleased under the MIT License.\nBye"), (3, "Licensed under the Apache License, Version 2.0."), (4, "SPDX-License-Identifier: MPL-2.0\ncode"), (5, None), (6, ""), (7, "All rights reserved. All rights reserved."), (8, "licensed under nothing")]
