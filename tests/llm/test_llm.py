@@ -475,22 +475,41 @@ def test_best_stretch_equals_brute_force():
 
 
 def test_search_equals_brute_force_with_ties(spark):
+    """Every row is a candidate of every other row's query, also where rows share an id."""
     rng = np.random.default_rng(5)
     vectors = rng.normal(0, 0.2, (300, 8))
     vectors[50:120] = vectors[0]
     vectors[200:260] = 0
     rows = [(int(i), [float(x) for x in v], "extra") for i, v in enumerate(vectors)] + [(300, None, ""), (301, [float("nan")] * 8, ""), (302, [None] * 8, ""), (303, [], ""), (304, [1.0, 2.0], ""), (None, [0.1] * 8, ""), (7, [9.0] * 8, ""), (305, [float("inf")] * 8, "")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    ints = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows[:300]}
-    got = defaultdict(list)
-    for r in va_search.top_k(df, F.col("vec_id") % 50 == 0, block_queries=2).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    for q in range(0, 300, 50):
-        want = sorted(((int(ints[q] @ v), i) for i, v in ints.items() if i != q), key=lambda x: (-x[0], x[1]))[:5]
-        assert got[q] == [(i, s) for s, i in want]
+    rows += [(100, [0.3] * 8, ""), (50, rows[50][1], ""), (400, [1e16] + [0.0] * 7, ""), (401, [-3e11] + [1.0] * 7, ""), (402, [1.0] * 700, ""), (500, [2.0] * 700, ""), (450, [0.0] + [-2.0] * 7, "")]
+    names = "vec_id long, embedding array<double>, score string, query long, row string"
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows], names).repartition(3)
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, v) in enumerate(ints):
+        if q % 50 == 0:
+            others = [(sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(ints) if m != n and len(w) == len(v)]
+            want.update((q, k + 1, i, s) for k, (s, i) in enumerate(sorted(others, key=lambda x: (-x[0], x[1]))[:5]) if abs(s) < 2**63)
+    got = Counter(map(tuple, va_search.top_k(df.filter("vec_id <> 400 OR vec_id IS NULL"), F.col("vec_id") % 50 == 0, block_queries=2).collect()))
+    without = Counter()
+    for n, (q, v) in enumerate(ints):
+        if q % 50 == 0 and q != 400:
+            others = [(sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(ints) if m != n and len(w) == len(v) and i != 400]
+            without.update((q, k + 1, i, s) for k, (s, i) in enumerate(sorted(others, key=lambda x: (-x[0], x[1]))[:5]))
+    assert got == without
+    big = Counter(map(tuple, va_search.top_k(df, F.col("vec_id") == 450).collect()))
+    assert big == Counter({k: n for k, n in want.items() if k[0] == 450})
     assert va_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_fails_on_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(1, [1e15, 1e15]), (2, [1e15, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        va_search.top_k(df, F.lit(True)).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        va_search.top_k(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def test_shards(spark, docs, rows, none, twice, tmp_path):
     out = shuffle_shards.assign_shards(docs, 7, bucket_rows=16).collect()
     sizes = Counter(r["shard"] for r in out)
