@@ -4,7 +4,9 @@ For each language a suffix automaton of labelled text is completed to a table th
 parses any text greedily into longest matches: a missing transition ends a phrase.
 The language whose text needs the fewest phrases, times the log of its training
 length, wins. Texts are parsed in blocks of ``CHUNK`` letters side by side, all
-languages at once; a phrase ends at a block's end in every language alike.
+languages at once, as if each block began a phrase; then every block is parsed again from
+the state in which the one before it ends, until both parses meet, mostly after a few
+letters. So a text's phrases are those of one parse from its first letter to its last.
 
 Learning is from a bounded sample: of each language the ``SAMPLE_DOCS`` labelled
 rows of smallest id hash give ``SAMPLE_CHARS`` characters each. Prediction reads
@@ -13,8 +15,10 @@ whole texts, and nothing else.
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so
 is every text if nothing could be learned; rows without label or text teach nothing;
 equal costs go to the first language in code-point order; a null doc_id counts as
-an empty string for the fold; repeated rows are each predicted; an empty table gives
-an empty result.
+an empty string for the fold; repeated rows are each predicted; a very long text is parsed
+whole; of more than ``MAX_LANGUAGES`` labels those with the most rows are learned, of equal
+ones the first by name; an empty table gives an empty result; columns that clash with the
+result's are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SAMPLE_CHARS = 300
 MAX_LANGUAGES = 200
 CHUNK = 256
 SLICE = 1 << 20
+#: States held at once while lanes are joined.
+PANEL = 1 << 22
 #: A block is clearly foreign if another language needs this share less than its label's.
 CLEAR = 0.15
 
@@ -132,7 +138,7 @@ class Parser:
         return np.array([np.bincount(owner, weights=c, minlength=n) for c in count]).astype(np.int64).reshape(len(self.langs), n)
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases per language and block; each block's document; its number of letters."""
+        """Phrases that end in each block, per language; each block's document; its number of letters."""
         n = len(offsets) - 1
         if not len(data) or not self.langs:
             return np.zeros((len(self.langs), 0), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -146,14 +152,65 @@ class Parser:
         lane = np.repeat(np.cumsum(lanes) - lanes, sizes) + at // CHUNK
         grid = np.full((CHUNK, int(lanes.sum())), self.pad, np.uint8)
         grid[at % CHUNK, lane] = plain
-        state = np.repeat(self.start, grid.shape[1], axis=1)
+        owner, size = np.repeat(np.arange(n), lanes), np.bincount(lane, minlength=grid.shape[1])
+        count, end = self._lanes(grid, owner)
+        last = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(0, np.int64)
+        count[:, last] += (end != self.start)[:, last]  # the phrase that the text's end cuts off
+        return count, owner, size
+
+    def _lanes(self, grid: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each lane, and the state at its end, by language; a lane goes on from the state of the one before it."""
+        step = max(1, PANEL // (CHUNK * len(self.langs)))
+        parts, before = [], None
+        for lo in range(0, grid.shape[1], step):
+            going_on = before is not None and owner[lo] == owner[lo - 1]
+            parts.append(self._panel(grid[:, lo : lo + step], owner[lo : lo + step], before if going_on else None))
+            before = parts[-1][1][:, -1:]
+        return tuple(np.concatenate(x, axis=1) for x in zip(*parts)) if parts else (np.zeros((len(self.langs), 0), np.int32),) * 2
+
+    def _panel(self, grid: np.ndarray, owner: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_lanes`` for some lanes; the first goes on from the state ``before``, if given."""
+        wide = grid.shape[1]
+        state = np.repeat(self.start, wide, axis=1)
         count = np.zeros(state.shape, np.int32)
-        for row in grid:
+        trail = np.empty((len(grid), *state.shape), state.dtype)
+        sums = np.empty((len(grid), *state.shape), np.int16)
+        for t, row in enumerate(grid):
             step = self.table[state + row]
             count += step & 3
             state = step >> 2
-        count += state != self.start
-        return count, np.repeat(np.arange(n), lanes), np.bincount(lane, minlength=grid.shape[1])
+            trail[t], sums[t] = state, count
+        end = state.copy()
+        follows = np.r_[[0] if before is not None else [], np.flatnonzero(owner[1:] == owner[:-1]) + 1].astype(np.int64)
+        lang, lane = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), follows, indexing="ij"))
+        entered = np.repeat(self.start, wide, axis=1)  # the state in which each lane was last entered
+        while True:
+            now = end[lang, lane - 1]
+            if before is not None:
+                now = np.where(lane == 0, before[lang, 0], now)
+            new = now != entered[lang, lane]
+            lang, lane, now = lang[new], lane[new], now[new]
+            if not len(lane):
+                return count, end
+            entered[lang, lane] = now
+            at, seen = np.arange(len(lane)), np.zeros(len(lane), np.int32)
+            for t, row in enumerate(grid):
+                step = self.table[now + row[lane[at]]]
+                seen += step & 3
+                now = step >> 2
+                met = now == trail[t, lang[at], lane[at]]
+                if met.any():
+                    # From here on both parses are one.
+                    i, j = lang[at[met]], lane[at[met]]
+                    count[i, j] = seen[met] + sums[-1, i, j] - sums[t, i, j]
+                    end[i, j] = trail[-1, i, j]
+                    at, seen, now = at[~met], seen[~met], now[~met]
+                    if not len(at):
+                        break
+            count[lang[at], lane[at]], end[lang[at], lane[at]] = seen, now
+            # Only the lanes behind those that were parsed again can be entered in another state.
+            behind = (lane + 1 < wide) & (owner[np.minimum(lane + 1, wide - 1)] == owner[lane])
+            lang, lane = lang[behind], lane[behind] + 1
 
     def predict(self, column: pa.Array, labels: list[str | None] | None = None) -> tuple[list[str], list[float], np.ndarray]:
         """Language and score of each text; and the share of its letters in blocks that clearly aren't in its label's language (0 for labels not learned)."""
@@ -173,7 +230,8 @@ class Parser:
             if labels is not None and len(owner):
                 each = count * self.weight[:, None]
                 mine = label[lo:hi][owner]
-                clear = (mine >= 0) & (each.min(axis=0) <= (1 - CLEAR) * each[mine, np.arange(len(mine))])
+                least, own = each.min(axis=0), each[mine, np.arange(len(mine))]
+                clear = (mine >= 0) & (least < own) & (least <= (1 - CLEAR) * own)
                 foreign[lo:hi] = np.bincount(owner, size * clear, hi - lo) / np.maximum(1, np.bincount(owner, size, hi - lo))
             ascii_letter = np.r_[0, np.cumsum((LOWER[part] >= 97) & (LOWER[part] <= 122))]
             letter[lo:hi] = ascii_letter[bounds[1:]] > ascii_letter[bounds[:-1]]
@@ -190,16 +248,20 @@ class Parser:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letter)], [float(s) if ok else 0.0 for s, ok in zip(score, letter)], foreign
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """language -> sample texts. At most MAX_LANGUAGES * sample_docs * sample_chars characters reach the driver."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
+    """language -> sample texts. At most languages * sample_docs * sample_chars characters reach the driver."""
     rows = docs.filter((F.pmod(id_crc(), F.lit(4)) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("[^\\x00-@\\[-`{-\\x7F]"))
     cut = rows.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("cut"))
     ranked = cut.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "cut"))).filter(F.col("n") <= sample_docs)
     found: dict[str, list[str]] = {}
-    for row in ranked.orderBy("lang", "n").limit(MAX_LANGUAGES * sample_docs + 1).toLocalIterator():
+    for row in ranked.orderBy("lang", "n").limit(languages * sample_docs + 1).toLocalIterator():
+        found.setdefault(row["lang"], []).append(row["cut"])
+    if len(found) <= languages and sum(map(len, found.values())) <= languages * sample_docs:
+        return found
+    most = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    found = {}
+    for row in ranked.join(F.broadcast(most.select("lang")), "lang").orderBy("lang", "n").toLocalIterator():
         found.setdefault(row["lang"], []).append(row["cut"])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return found
 
 

@@ -308,6 +308,64 @@ def test_phrases_equal_a_plain_parse():
         assert parser.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[k, 0] == n
 
 
+@pytest.mark.parametrize("sample, panel", [(40, 1 << 22), (400, 1 << 22), (400, 2304)])
+def test_phrases_of_long_texts_equal_a_plain_parse(sample, panel, monkeypatch):
+    """Many lanes, among them copies of the learned text, so that matches run over several lanes' edges."""
+    monkeypatch.setattr(parse_language, "PANEL", panel)
+    rng = random.Random(sample)
+    say = lambda k: " ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(k))
+    learned = {"a": [say(sample)], "b": [say(sample) for _ in range(3)], "c": ["ab " * 900]}
+    parser = parse_language.Parser(learned)
+    texts = [say(900), "", learned["a"][0] * 3, "x", learned["c"][0] * 2 + say(20), say(61) + "漢字" + say(300), "ab " * 700, learned["b"][2] + learned["b"][1]]
+    raw = [t.encode() for t in texts]
+    got = parser.phrases(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    known = {}
+    for name, parts in learned.items():
+        squeezed = re.sub(rb" +", b" ", parse_language.letters(np.frombuffer("\n".join(parts).encode(), np.uint8)).tobytes())
+        known[name] = squeezed
+    for d, text in enumerate(raw):
+        line = re.sub(rb" +", b" ", parse_language.letters(np.frombuffer(text, np.uint8)).tobytes()) if text else b""
+        for k, name in enumerate(parser.langs):
+            i = phrases = 0
+            while i < len(line):
+                n = 1
+                while i + n < len(line) and line[i : i + n + 1] in known[name]:
+                    n += 1
+                i, phrases = i + n, phrases + 1
+            assert got[k][d] == phrases, (name, d)
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(1)
+    say = lambda s, k: " ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(k))
+    samples = {"x": [say("abcde", 60)], "y": [say("defgh", 70)], "z": [say("aeiou", 50)]}
+    texts = [say(s, k) for s in ("abcde", "defgh", "aeiou", "abcdefgh") for k in (1, 5, 200)] + ["123", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in parse_language.identify(docs, samples).collect():
+        text = texts[r["doc_id"]]
+        if not text or not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cost = {}
+        for name, (known,) in samples.items():
+            i = phrases = 0
+            while i < len(text):
+                n = 1
+                while i + n < len(text) and text[i : i + n + 1] in known:
+                    n += 1
+                i, phrases = i + n, phrases + 1
+            cost[name] = phrases * math.log2(len(known))
+        first, second = sorted(cost.values())[:2]
+        assert cost[r["lang_pred"]] == pytest.approx(first) and r["score"] == pytest.approx(1 - first / second)
+
+
+def test_more_labels_than_languages_learn_the_commonest(spark):
+    rows = [(i, f"some words of text {i}", f"l{min(i // 4, 20)}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = parse_language.learn(docs, sample_docs=3, languages=5)
+    assert len(found) == 5 and "l20" in found and all(len(x) <= 3 for x in found.values())
+
+
 def test_line_templates(spark, none, twice):
     boiler = "Page {} of this site was last seen today"
     rows = [(i, f"own words number{'x' * i} stay here always\n{boiler.format(i)}\nok\nThe very same footer line everywhere") for i in range(30)] + [(99, None), (98, "")]
