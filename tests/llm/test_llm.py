@@ -631,6 +631,26 @@ def test_licences(spark, none):
     assert license_rules.scan_licenses(none).count() == 0
 
 
+def test_licence_lines_below_other_lines(spark, none):
+    """Titles and table rows without a full stop, wrapped sentences, comment signs, long texts, repeated rows, clashing columns."""
+    bsd = dict((s, n) for n, s in license_rules.SENTENCES)
+    wrapped = next(s for s, n in bsd.items() if n == "BsdGrant").split()
+    body = "# " + " ".join(wrapped[:9]) + "\n#  " + " ".join(wrapped[9:]) + ":\n# 1. " + ".\n# 2. ".join(s for s, n in bsd.items() if n in ("BsdSource", "BsdBinary")) + "."
+    rows = [
+        (1, "| a | b |\nLicensed under CC BY-NC 4.0.\nmore"), (2, "A title\nAll rights reserved\nCopyright 2020 B"), (3, "Title without a stop\n" + body),
+        (4, "x " * 200_000 + "\nMIT License\n" + "y " * 200_000), (5, "MIT License and more words"), (5, "MIT License and more words"), (None, "see\nSPDX-License-Identifier: BSD-3-Clause\nend"),
+        (6, "GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n"),
+        (7, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."),
+        (8, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+        (9, "MIT License\nMIT License\nISC License"), (10, "|||\n\n|"), (11, "one.two\nthree"),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, ids int, licences string")
+    out = license_rules.scan_licenses(docs).collect()
+    got = Counter((r["doc_id"], r["licences"], r["n_known"]) for r in out)
+    assert got == Counter([(1, "CC-BY-NC-4.0", 1), (2, "NOT-OPEN-RIGHTS-RESERVED", 1), (3, "BSD-2-Clause", 3), (4, "MIT", 1), (5, "NONE", 0), (5, "NONE", 0), (None, "BSD-3-Clause", 1), (6, "GPL-2.0", 1), (7, "GPL-3.0-or-later", 4), (8, "LGPL-2.1-or-later", 2), (9, "ISC;MIT", 3), (10, "NONE", 0), (11, "NONE", 0)])
+    assert {r["doc_id"]: r["n_sentences"] for r in out if r["doc_id"] in (10, 11)} == {10: 0, 11: 2}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(name, spark, duck, data):
     df = QUERIES[name](spark, data)
