@@ -16,9 +16,12 @@ def text(c: Column) -> Column:
     return F.when(F.lower(out) == "nan", "").otherwise(out)
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def number(c: Column) -> Column:
     """Finite double or null."""
-    v = text(c).try_cast("double")
+    v = F.when(text(c).rlike(_NUMBER), text(c)).try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
@@ -27,8 +30,8 @@ def integer(c: Column, mode: str = "ingest") -> Column:
     if mode not in ("ingest", "plain", "strict"):
         raise ValueError(mode)
     raw = F.regexp_replace(text(c), r"[,\s\x{00A0}]", "") if mode == "ingest" else text(c)
-    v = raw.try_cast("decimal(38,6)")
-    whole = F.when(v == F.floor(v), v.try_cast("long"))
+    v = F.when(raw.rlike(_NUMBER), raw).try_cast("double")
+    whole = F.when(raw.rlike("^[+-]?[0-9]{1,15}$"), raw.try_cast("long")).when(v == F.rint(v), v.try_cast("long"))
     if mode == "strict":
         return F.when((raw != "") & whole.isNull(), F.raise_error(F.concat(F.lit("not an integer: "), raw)).cast("long")).otherwise(whole)
     return whole
@@ -45,17 +48,21 @@ def finite(c: Column) -> Column:
 
 
 def chromosome(c: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Alias, else the number behind 'chr...', else bare digits, else the text; accession versions stay as they are."""
+    """Alias, else the number behind a word 'chr' or 'chromosome' anywhere in the text, else a bare whole number, else the text; accession versions stay as they are."""
     s = text(c)
     known = F.try_element_at(F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv]), s)
-    named = F.regexp_extract(s, r"(?i)^chr(?:omosome)?[_ ]?0*(\d+)$", 1)
-    digits = F.regexp_extract(s, r"^0*(\d+)$", 1)
-    return F.coalesce(known, F.nullif(named, F.lit("")), F.nullif(digits, F.lit("")), s)
+    named = F.regexp_extract(s, r"(?i)(?:^|[_\s])(?:chromosome|chr)[_\s-]*(\d+)(?:\b|_)", 1)
+    digits = F.regexp_extract(s, r"^(\d+)(?:\.0+)?$", 1)
+    plain = F.regexp_replace(F.coalesce(F.nullif(named, F.lit("")), F.nullif(digits, F.lit(""))), r"^0+(?=\d)", "")
+    return F.coalesce(known, plain, s)
 
 
 def canonical_marker(c: Column) -> Column:
-    """number.F.zero.offset becomes number|F|zero--offset; anything else is unchanged."""
-    return F.regexp_replace(text(c), r"^(\d+)\.([A-Z])\.(\d+)\.(\d+)$", "$1|$2|$3--$4")
+    """number.F.zero.offset, and number|f|zero--offset, become number|F|zero--offset, for F and R in either case; anything else is unchanged."""
+    s = text(c)
+    parts = F.regexp_extract_all(s, F.lit(r"^(\d+)(?:\.([FRfr])\.(\d+)\.|\|([FRfr])\|(\d+)--)(\d+)$"), F.lit(0))
+    at = lambda i: F.regexp_extract(s, r"^(\d+)(?:\.|\|)([FRfr])(?:\.|\|)(\d+)(?:\.|--)(\d+)$", i)
+    return F.when(F.size(parts) == 1, F.concat(at(1), F.lit("|"), F.upper(at(2)), F.lit("|"), at(3), F.lit("--"), at(4))).otherwise(s)
 
 
 def dart_suffix(c: Column) -> Column:

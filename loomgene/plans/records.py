@@ -97,9 +97,14 @@ def fallback_match(spark, sf):
 
 
 def canonical_ids(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.concat_ws(".", "p_partkey", F.lit("F"), F.lit("0"), "p_size").alias("raw"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "chr0").otherwise(""), F.col("p_size")).alias("chrom"))
-    name = S.canonical_marker(F.col("raw"))
-    return rows.select("p_partkey", name.alias("canonical_id"), S.dart_suffix(name).alias("suffix"), S.tag_family(name).alias("family"), S.chromosome(F.col("chrom")).alias("chromosome"))
+    """Part numbers in the spellings that markers, chromosomes and whole numbers come in."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    dotted = lambda letter: F.concat_ws(".", k, F.lit(letter), F.lit("0"), n)
+    raw = F.when(k % 4 == 0, dotted("F")).when(k % 4 == 1, dotted("r")).when(k % 4 == 2, F.concat(k, F.lit("|f|0--"), n)).otherwise(dotted("Z"))
+    chrom = F.when(k % 5 == 0, F.concat(F.lit("chr0"), n)).when(k % 5 == 1, F.concat(n, F.lit(".0"))).when(k % 5 == 2, F.concat(F.lit("chr-"), n)).when(k % 5 == 3, F.concat(F.lit("Tc_chr"), n, F.lit("_v2"))).otherwise(F.concat(F.lit("chr"), n, F.lit("x")))
+    whole = F.when(k % 3 == 0, F.concat(n, F.lit(".0"))).when(k % 3 == 1, F.concat(n, F.lit(",000"))).otherwise(F.concat(n, F.lit(".0000001")))
+    rows = table(spark, sf, "part").select("p_partkey", S.canonical_marker(raw).alias("canonical_id"), S.chromosome(chrom).alias("chromosome"), S.integer(whole).alias("whole"))
+    return rows.select("p_partkey", "canonical_id", S.dart_suffix(F.col("canonical_id")).alias("suffix"), S.tag_family(F.col("canonical_id")).alias("family"), "chromosome", "whole")
 
 
 def stable_ids(spark, sf):
@@ -135,12 +140,36 @@ def reverse_complement(spark, sf):
 
 
 def _hits(spark, sf):
+    """Events as alignments of users' tags: reasons, places and cigars that differ within a locus, competitors reported or not."""
+    e = F.col("event_id")
+    score = (-e % 31).cast("long")
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("tag_id"), (F.col("event_id") % 2).alias("allele"), F.concat_ws(":", F.col("event_id") % 3, "event_type").alias("locus"),
-        (-F.col("event_id") % 31).cast("long").alias("score"), F.when(F.col("event_id") % 5 == 0, "TOO_MANY_NONFOCAL_EDITS").otherwise("ELIGIBLE_PLACEMENT").alias("reason"), F.lit(None).cast("long").alias("xs"),
+        F.col("user_id").alias("tag_id"), (e % 2).alias("allele"), F.concat_ws(":", e % 3, "event_type").alias("locus"), score.alias("score"),
+        F.when(e % 5 == 0, "TOO_MANY_NONFOCAL_EDITS").otherwise("ELIGIBLE_PLACEMENT").alias("reason"), F.when(e % 11 == 0, score - 2).alias("xs"), (e % 50).cast("long").alias("start"), (e % 50 + 20).cast("long").alias("end"),
+        F.when(e % 2 == 0, "20M").otherwise("19M1D1M").alias("cigar"), F.when(e % 7 == 0, "C").otherwise("A").alias("base"), F.lit("G").alias("other_base"), F.lit(5).cast("long").alias("snp"),
     )
 
 
+def sam_validation(spark, sf):
+    """Part names as contigs, and tags cut from them with known edits: what each alignment rests on, and what contradicts it."""
+    base = F.translate(F.regexp_replace(F.upper(F.concat("p_name", "p_type", "p_name")), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("tag_id"), base.alias("s"), (F.col("p_partkey") % 6).alias("kind")).filter("length(s) >= 20")
+    n, kind = F.length("s"), F.col("kind")
+    flip, third = (lambda c, to=to: F.translate(c, "ACGT", to) for to in ("TGCA", "CAAC"))
+    put = lambda c, at, x: F.concat(F.substring(c, 1, at), x, F.expr(f"substring(s, {at + 2})"))
+    ref = F.when(kind == 1, put(F.col("s"), 2, flip(F.substring("s", 3, 1)))).when(kind == 2, F.concat(F.substring("s", 1, 12), F.expr("substring(s, 14)"))).when(kind == 3, F.concat(F.substring("s", 1, 15), F.lit("A"), F.expr("substring(s, 16)"))).when(kind == 4, put(F.col("s"), 8, flip(F.substring("s", 9, 1)))).otherwise(F.col("s"))
+    rows = rows.withColumn("ref", ref)
+    alt = F.concat(F.substring("ref", 1, 8), F.when(kind == 4, third(F.substring("s", 9, 1))).otherwise(flip(F.substring("s", 9, 1))), F.expr("substring(ref, 10)"))
+    cigar = F.when(kind == 2, F.concat(F.lit("12M1D"), n - 13, F.lit("M"))).when(kind == 3, F.concat(F.lit("15M1I"), n - 15, F.lit("M"))).otherwise(F.concat(n, F.lit("M")))
+    score = F.when(kind.isin(1, 4), -6).when(kind.isin(2, 3), -8).otherwise(0).cast("long")
+    edits = F.when(kind == 0, 0).when(kind == 5, 2).otherwise(1).cast("long")
+    none = F.lit(None).cast("long")
+    sam = rows.select("tag_id", F.lit("R").alias("allele"), F.lit(0).alias("flag"), "tag_id", F.lit(3).cast("long").alias("pos"), cigar.alias("cigar"), F.lit("*").alias("seq"), score.alias("score"), edits.alias("nm"), none.alias("xs")).toDF("tag_id", "allele", "flag", "rname", "pos", "cigar", "seq", "score", "nm", "xs")
+    contigs = rows.select(F.col("tag_id").alias("contig_id"), F.concat(F.lit("AC"), "s", F.lit("GT")).alias("bases"))
+    out = T.sam_placements(sam, rows.select("tag_id", "ref", alt.alias("alt"), F.lit(8).alias("snp0")), contigs)
+    return out.select("tag_id", "locus", "snp", "base", "nonfocal_edits", "gap_bases", "focal_gap_distance", "reason", "error")
+
+
 def placement_decision(spark, sf):
     return T.allele_decisions(_hits(spark, sf), cap=40, gap=1)
 
@@ -194,12 +223,15 @@ def scalar_comparisons(spark, sf):
     return a.select("key", S.scalar_comparison(F.col("a"), b).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, tag_exact_hits, mapping_summary, reverse_complement, placement_decision, allele_combination, contiguous_groups, tag_length_summary, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
+QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, tag_exact_hits, mapping_summary, reverse_complement, sam_validation, placement_decision, allele_combination, contiguous_groups, tag_length_summary, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
 
-_HITS = """hits AS (SELECT user_id AS tag_id, event_id % 2 AS allele, concat_ws(':', event_id % 3, event_type) AS locus, CAST(-event_id % 31 AS BIGINT) AS score, CASE WHEN event_id % 5 = 0 THEN 'TOO_MANY_NONFOCAL_EDITS' ELSE 'ELIGIBLE_PLACEMENT' END AS reason FROM events),
-l AS (SELECT tag_id, allele, locus, max(score) AS score, arg_max(reason, (score, reason)) AS reason, count(*) AS n FROM hits GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY tag_id, allele ORDER BY score DESC, locus) AS rank FROM l),
-d0 AS (SELECT tag_id, allele, CAST(sum(n) AS BIGINT) AS n_hits, max(score) AS best_score, max(score) FILTER (rank = 2) AS next_score, max(locus) FILTER (rank = 1) AS locus, max(reason) FILTER (rank = 1) AS reason FROM k GROUP BY ALL),
-dec AS (SELECT tag_id, allele, n_hits, best_score, next_score, locus, CASE WHEN n_hits >= 40 THEN 'REPORTING_CAP_REACHED' WHEN best_score - next_score < 1 THEN 'INSUFFICIENT_SCORE_SEPARATION' WHEN best_score + 30 < 1 THEN 'SEARCH_THRESHOLD_MARGIN_INSUFFICIENT' WHEN reason <> 'ELIGIBLE_PLACEMENT' THEN reason ELSE 'RETAINED_BOUNDED_SEARCH' END AS status FROM d0)"""
+_HITS = """hits AS (SELECT user_id AS tag_id, event_id % 2 AS allele, concat_ws(':', event_id % 3, event_type) AS locus, CAST(-event_id % 31 AS BIGINT) AS score, CASE WHEN event_id % 5 = 0 THEN 'TOO_MANY_NONFOCAL_EDITS' ELSE 'ELIGIBLE_PLACEMENT' END AS reason,
+ CASE WHEN event_id % 11 = 0 THEN CAST(-event_id % 31 AS BIGINT) - 2 END AS xs, event_id % 50 AS s, event_id % 50 + 20 AS e, CASE WHEN event_id % 2 = 0 THEN '20M' ELSE '19M1D1M' END AS cigar, CASE WHEN event_id % 7 = 0 THEN 'C' ELSE 'A' END AS base FROM events),
+h AS (SELECT *, max(score) OVER (PARTITION BY tag_id, allele, locus) AS top FROM hits),
+l AS (SELECT tag_id, allele, locus, top AS score, arg_min(reason, (-score, s, e, cigar, reason)) AS reason, max(xs) FILTER (score = top) AS xs, count(DISTINCT base) FILTER (score = top) > 1 AS torn, count(*) AS n FROM h GROUP BY tag_id, allele, locus, top),
+k AS (SELECT *, row_number() OVER (PARTITION BY tag_id, allele ORDER BY score DESC, locus) AS rank, max(score) OVER (PARTITION BY tag_id, allele) AS best FROM l),
+d0 AS (SELECT tag_id, allele, CAST(sum(n) AS BIGINT) AS n_hits, max(score) AS best_score, greatest(max(score) FILTER (rank = 2), max(xs) FILTER (score = best)) AS next_score, max(locus) FILTER (rank = 1) AS locus, max(reason) FILTER (rank = 1) AS reason, bool_or(torn) FILTER (rank = 1) AS torn FROM k GROUP BY ALL),
+dec AS (SELECT tag_id, allele, n_hits, best_score, next_score, locus, CASE WHEN n_hits >= 40 THEN 'REPORTING_CAP_REACHED' WHEN best_score - next_score < 1 THEN 'INSUFFICIENT_SCORE_SEPARATION' WHEN best_score + 30 < 1 THEN 'SEARCH_THRESHOLD_MARGIN_INSUFFICIENT' WHEN reason <> 'ELIGIBLE_PLACEMENT' THEN reason WHEN torn THEN 'TIED_CIGAR_FOCAL_CONFLICT' ELSE 'RETAINED_BOUNDED_SEARCH' END AS status FROM d0)"""
 _POL = f"""WITH {LOCI}, r AS (SELECT * FROM loci WHERE resource = 'R'), o AS (SELECT record_key, chromosome, orig AS position, accepted AS kept FROM r WHERE accepted OR orig % 3 = 0),
 n AS (SELECT record_key, chromosome, CASE WHEN orig % 2 = 0 THEN orig ELSE ref END AS position, orig % 5 <> 0 AS kept FROM r WHERE orig % 7 <> 0)"""
 _ID = "parts AS (SELECT p_partkey, concat_ws(' ', string_split(p_name, ' ')[1], p_brand, p_size) AS key, p_size % 3 AS chromosome, floor(p_retailprice) AS position FROM part)"
@@ -226,7 +258,12 @@ SELECT key, a.p AS p_partkey_a, b.p AS p_partkey_b, CASE WHEN a.c <> b.c THEN 'd
     "key_link_classification": "WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n, min(l_partkey) AS f FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN coalesce(n, 0) = 0 THEN 'NO_SEQUENCE_IDENTITY_BRIDGE' WHEN n > 1 THEN 'AMBIGUOUS_REFERENCE_TAG_KEY' ELSE 'DIRECT_UNIQUE_EXACT_TAG' END AS status, CASE WHEN n = 1 THEN f END AS value FROM orders LEFT JOIN l ON CAST(o_orderkey AS VARCHAR) = key",
     "fallback_match": """WITH n AS (SELECT p_type, count(*) AS n_name, min(p_partkey) AS f FROM part GROUP BY 1 HAVING count(*) <= 20)
 SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'EXACT_ID' WHEN n_name = 1 THEN 'EXACT_NAME' WHEN n_name > 1 THEN 'AMBIGUOUS_ANNOTATION_ID' ELSE 'SOURCE_GENE_ID_NOT_FOUND_IN_THIS_ANNOTATION' END AS basis, CASE WHEN p_size <= 10 THEN p_partkey WHEN n_name = 1 THEN f END AS target FROM part LEFT JOIN n USING (p_type)""",
-    "canonical_ids": "SELECT p_partkey, p_partkey || '|F|0--' || p_size AS canonical_id, CAST(p_size AS BIGINT) AS suffix, p_partkey || '|F|0' AS family, CAST(p_size AS VARCHAR) AS chromosome FROM part",
+    "canonical_ids": """WITH n AS (SELECT p_partkey, p_partkey || '|' || CASE p_partkey % 4 WHEN 1 THEN 'R' ELSE 'F' END || '|0' AS family, CAST(p_size AS VARCHAR) AS n, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN p_partkey || '.Z.0.' || n ELSE family || '--' || n END AS canonical_id, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size AS BIGINT) END AS suffix, CASE WHEN p_partkey % 4 = 3 THEN p_partkey || '.Z.0.' || n ELSE family END AS family,
+ CASE WHEN p_partkey % 5 = 4 THEN 'chr' || n || 'x' ELSE n END AS chromosome, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(p_size AS BIGINT) * 1000 END AS whole FROM n""",
+    "sam_validation": """WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS tag_id, p_partkey % 6 AS kind, translate(regexp_replace(upper(p_name || p_type || p_name), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM part)
+SELECT tag_id, tag_id || ':+:11' AS locus, CAST(11 AS BIGINT) AS snp, substr(s, 9, 1) AS base, CAST(CASE WHEN kind IN (1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS nonfocal_edits, CAST(CASE WHEN kind IN (2, 3) THEN 1 ELSE 0 END AS BIGINT) AS gap_bases, CAST(CASE kind WHEN 2 THEN 3 WHEN 3 THEN 7 END AS BIGINT) AS focal_gap_distance,
+ CASE kind WHEN 2 THEN 'GAP_NEAR_FOCAL_SNP' WHEN 4 THEN 'REFERENCE_ALLELE_UNSUPPORTED' WHEN 5 THEN NULL ELSE 'ELIGIBLE_PLACEMENT' END AS reason, CASE WHEN kind = 5 THEN 'EDIT_COUNT_DISAGREES' END AS error FROM s WHERE length(s) >= 20""",
     "stable_ids": "SELECT page_id, substr(sha256(page_id || chr(31) || chr(31) || url), 1, 16) AS stable_id, substr(sha256(url), 1, 20) AS long_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages",
     "tag_exact_hits": f"WITH {_HIT} SELECT tag_id, contig_id, start FROM hits",
     "mapping_summary": f"""WITH {_HIT}, n AS (SELECT tag_id, count(*) AS n, min(contig_id) AS c, min(start) AS s FROM hits GROUP BY 1)

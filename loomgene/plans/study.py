@@ -14,10 +14,14 @@ from loomgene.operators.checks import CheckFailed, Ledger, assert_unique, closed
 from loomgene.operators.identity import classify, dedup_events, keyed
 from loomgene.operators.nearest import nearest, window_counts
 from loomgene.operators.sampling import draw, hash_order, replicate, requirements, spread
-from loomgene.sources.genomics import read_gff, read_sam
+from loomgene.sources.genomics import read_fasta, read_gff, read_sam
 from loomgene.sources.workbook import field, read_workbook
 
 
+#: Letters of the reference in a chunk; alignments meet the chunk in which they begin.
+REFERENCE_CHUNK = 1 << 16
+
+
 @dataclass
 class Config:
     windows: list
@@ -44,22 +48,29 @@ def markers(rows: DataFrame, cfg: Config) -> DataFrame:
     return out.join(places, "marker_id").withColumn("eligible", ok)
 
 
-def placements(sam: DataFrame, cfg: Config) -> DataFrame:
-    """Alignment lines named tag|allele to one retained place per tag."""
-    walk = T.cigar_walk(F.col("cigar"), F.col("pos"), F.lit(cfg.focal_index))
-    rows = sam.filter("contiguous AND cigar <> '*'").withColumn("w", walk)
-    at = F.col("w.focal_position")
-    reason = T.placement_reason(F.col("cigar"), at.isNotNull(), F.lit(True), F.col("w"), F.coalesce("nm", F.lit(0)))
-    strand = F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+")
-    hits = rows.select(F.element_at(F.split("qname", "\\|"), 1).alias("tag_id"), F.element_at(F.split("qname", "\\|"), -1).alias("allele"), F.concat_ws(":", "rname", strand, F.coalesce(at, F.col("pos"))).alias("locus"), "score", reason.alias("reason"), "xs")
+def placements(sam: DataFrame, cfg: Config, tags: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """Alignment lines named tag|allele to one retained place per tag.
+
+    With the tags' sequences and the reference every line is held against both, and a contradiction fails; without them edits are
+    as the lines report them, less the variant's own on the second allele.
+    """
+    rows = sam.filter("contiguous").withColumns({"tag_id": F.element_at(F.split("qname", "\\|"), 1), "allele": F.upper(F.substring(F.element_at(F.split("qname", "\\|"), -1), 1, 1))})
+    if tags is not None and contigs is not None:
+        hits = T.checked_placements(T.sam_placements(rows, tags, contigs, size=REFERENCE_CHUNK))
+    else:
+        rows = rows.filter("cigar <> '*'").withColumn("w", T.cigar_walk(F.col("cigar"), F.col("pos"), F.lit(cfg.focal_index)))
+        at, edits = F.col("w.focal_position"), F.coalesce("nm", F.lit(0))
+        reason = T.placement_reason(F.col("cigar"), at.isNotNull(), F.lit(True), F.col("w"), F.when(F.col("allele") == "A", F.greatest(edits - 1, F.lit(0))).otherwise(edits))
+        strand = F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+")
+        hits = rows.select("tag_id", "allele", F.concat_ws(":", "rname", strand, F.coalesce(at, F.col("pos"))).alias("locus"), "score", reason.alias("reason"), "xs", F.col("pos").alias("start"), F.col("w.end").alias("end"), "cigar")
     primary = F.element_at(F.split("locus", ":"), 1).isin(*cfg.lengths)
-    out = T.combine_alleles(T.allele_decisions(hits), primary)
+    out = T.combine_alleles(T.allele_decisions(hits, expected=rows.select("tag_id", "allele")), F.coalesce(primary, F.lit(False)))
     parts = F.split("locus", ":")
-    return out.select(F.col("tag_id").alias("key"), "status", "accepted", parts[0].alias("ref_chromosome"), parts[2].cast("long").alias("ref_position"))
+    return out.select(F.col("tag_id").alias("key"), "status", "accepted", parts[0].alias("ref_chromosome"), F.try_element_at(parts, F.lit(3)).cast("long").alias("ref_position"))
 
 
 def run(spark: SparkSession, sources: dict[str, str], values: dict, out: str) -> dict[str, DataFrame]:
-    """``sources``: markers and associations (workbooks), genes (GFF3), alignments (SAM). Tables that several steps read are written first."""
+    """``sources``: markers and associations (workbooks), genes (GFF3), alignments (SAM), and where given tags (workbook) and reference (FASTA). Tables that several steps read are written first."""
     cfg, ledger = closed(Config, values), Ledger()
 
     def keep(name: str, df: DataFrame) -> DataFrame:
@@ -68,7 +79,12 @@ def run(spark: SparkSession, sources: dict[str, str], values: dict, out: str) ->
 
     tables: dict[str, DataFrame] = {}
     marked = tables["markers"] = keep("markers", markers(read_workbook(spark, sources["markers"], ["marker id", "pos"]), cfg))
-    placed = placements(read_sam(spark, sources["alignments"]), cfg).filter("accepted")
+    defs = contigs = None
+    if "tags" in sources and "reference" in sources:
+        sheet = read_workbook(spark, sources["tags"], ["tag key", "ref", "alt"])
+        defs = sheet.select(S.text(field("tag key")).alias("tag_id"), S.dna(S.text(field("ref"))).alias("ref"), S.dna(S.text(field("alt"))).alias("alt"), S.integer(field("snp0")).cast("int").alias("snp0"))
+        contigs = read_fasta(spark, sources["reference"], overlap=512, chunk=REFERENCE_CHUNK, tails=True)
+    placed = placements(read_sam(spark, sources["alignments"]), cfg, defs, contigs).filter("accepted")
     linked = classify(marked, keyed(placed, "key", "ref_chromosome").join(placed, "key").select("key", "n", F.struct("ref_chromosome", "ref_position").alias("first")), "key", "NO_SEQUENCE_IDENTITY_BRIDGE", "MISSING_OR_AMBIGUOUS_REFERENCE_KEY", "RETAINED_PROJECTED_ALIGNMENT")
     ledger_rows = linked.select("source_row", "canonical_id", "chromosome", "position", "status", F.col("value.ref_chromosome").alias("ref_chromosome"), F.col("value.ref_position").alias("ref_position"), "eligible")
     accepted = F.col("status") == "RETAINED_PROJECTED_ALIGNMENT"

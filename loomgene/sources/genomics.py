@@ -29,14 +29,17 @@ def contigs(data: bytes, limit: int = 1 << 31) -> Iterator[tuple[str, str]]:
         yield name, bases
 
 
-def read_fasta(spark: SparkSession, path: str, overlap: int = 255, chunk: int = 1 << 20) -> DataFrame:
-    """(contig_id, chunk_start, bases): chunks that share ``overlap`` letters with the next, for tags of at most that plus one."""
+def read_fasta(spark: SparkSession, path: str, overlap: int = 255, chunk: int = 1 << 20, tails: bool = False) -> DataFrame:
+    """(contig_id, chunk_start, bases): chunks that share ``overlap`` letters with the next, for tags of at most that plus one.
+
+    With ``tails`` also a last chunk that lies in the overlap of the one before, so that each letter has the chunk of its own place.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 for name, bases in contigs(data.as_py()):
-                    for a in range(0, max(1, len(bases) - overlap), chunk):
+                    for a in range(0, len(bases) if tails else max(1, len(bases) - overlap), chunk):
                         yield pa.RecordBatch.from_pydict({"contig_id": [name], "chunk_start": pa.array([a], pa.int64()), "bases": [bases[a : a + chunk + overlap]]})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "contig_id string, chunk_start long, bases string")

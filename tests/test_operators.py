@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomgene.functions import scalars as S
@@ -84,7 +85,7 @@ def test_exact_hits_both_strands_and_chunks(spark):
 
 def test_cigar_walk(spark):
     # 49-base tag, focal base 20, placed after ten others.
-    cases = [("49M", 31, 0, None), ("5M1I43M", 30, 1, 15), ("5M1D44M", 32, 1, 16), ("19M1D30M", 32, 1, 2), ("30S19M", None, 0, None)]
+    cases = [("49M", 31, 0, None), ("5M1I43M", 30, 1, 15), ("5M1D44M", 32, 1, 15), ("19M1D30M", 32, 1, 1), ("20M1D29M", 32, 1, 0), ("21M1D28M", 31, 1, 0), ("30S19M", None, 0, None)]
     df = spark.createDataFrame([(c,) for c, *_ in cases], "cigar string").withColumn("w", tags.cigar_walk(F.col("cigar"), F.lit(11), F.lit(20)))
     for r, (_, focal, gaps, near) in zip(df.collect(), cases):
         assert (r["w"]["focal_position"], r["w"]["gap_bases"], r["w"]["focal_gap_distance"]) == (focal, gaps, near)
@@ -109,3 +110,62 @@ def test_numbered_rows_are_gapless_in_order(spark):
     want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
     assert [found[r[2]] for r in want] == list(range(1, 701))
     assert numbered(df.limit(0), ["a"]).collect() == []
+
+
+def test_identifier_spellings(spark):
+    cases = {
+        "chromosome": [("1.0", "1"), ("chr-3", "3"), ("Tc_chr1_v2", "1"), ("Chromosome 07", "7"), ("NC_030850.1", "NC_030850.1"), ("chr3x", "chr3x"), ("x", "x"), ("", ""), ("007", "7"), ("0", "0"), ("1.5", "1.5"), ("machr1", "machr1")],
+        "marker": [("12.f.0.22", "12|F|0--22"), ("12|r|0--5", "12|R|0--5"), ("9.Z.0.1", "9.Z.0.1"), ("9.F.0.1", "9|F|0--1"), ("9|F|0.1", "9|F|0.1"), ("9.F.0--1", "9.F.0--1"), (" 3.R.1.2 ", "3|R|1--2")],
+        "integer": [("3.0000001", None), ("3.0", 3), ("1,234", 1234), ("1e3", 1000), ("1d", None), ("x", None), ("-7", -7), ("", None), ("1e30", None)],
+    }
+    call = {"chromosome": S.chromosome, "marker": S.canonical_marker, "integer": S.integer}
+    for name, pairs in cases.items():
+        rows = spark.createDataFrame([(a,) for a, _ in pairs], "a string").select(call[name](F.col("a")).alias("b")).collect()
+        assert [r["b"] for r in rows] == [b for _, b in pairs], name
+
+
+def test_allele_decisions_by_first_alignment_and_all_competitors(spark):
+    ok, many = "ELIGIBLE_PLACEMENT", "TOO_MANY_NONFOCAL_EDITS"
+    rows = [
+        ("a", "R", "1:+:5", 0, many, None, 20, 30, "10M", "A", "G", 5), ("a", "R", "1:+:5", 0, ok, None, 10, 30, "10M", "A", "G", 5),  # the first by start counts
+        ("b", "R", "1:+:5", 0, ok, None, 10, 30, "10M", "A", "G", 5), ("b", "R", "2:+:5", 0, ok, -3, 10, 30, "10M", "A", "G", 5),  # two best loci
+        ("c", "R", "1:+:5", 0, ok, -3, 12, 30, "10M", "A", "G", 5), ("c", "R", "1:+:5", 0, ok, None, 11, 30, "10M", "A", "G", 5),  # xs of another best alignment
+        ("d", "R", "1:+:5", 0, ok, None, 10, 30, "10M", "A", "G", 5), ("d", "R", "1:+:5", 0, ok, None, 10, 31, "10M", "A", "C", 5), ("d", "R", "3:+:5", -9, ok, None, 1, 2, "10M", "A", "C", 5),
+        ("e", "R", "1:+:5", -28, ok, None, 10, 30, "10M", "A", "G", 5),
+    ]
+    hits = spark.createDataFrame(rows, "tag_id string, allele string, locus string, score long, reason string, xs long, start long, end long, cigar string, base string, other_base string, snp long")
+    expected = spark.createDataFrame([(t, "R") for t in "abcdef"], "tag_id string, allele string")
+    got = {r["tag_id"]: (r["status"], r["n_hits"], r["next_score"]) for r in tags.allele_decisions(hits, expected=expected).collect()}
+    assert got == {
+        "a": ("RETAINED_BOUNDED_SEARCH", 2, None), "b": ("INSUFFICIENT_SCORE_SEPARATION", 2, 0), "c": ("INSUFFICIENT_SCORE_SEPARATION", 2, -3),
+        "d": ("TIED_CIGAR_FOCAL_CONFLICT", 3, -9), "e": ("SEARCH_THRESHOLD_MARGIN_INSUFFICIENT", 1, None), "f": ("UNMAPPED", 0, None),
+    }
+
+
+def test_sam_placements_hold_against_tag_and_reference(spark):
+    contig = "ACGTACGGTTCAAGCTTGCAATCGGATCCTAGCATGCCATTG"
+    tag = contig[10:30]  # variant at place 8: the reference has contig[18]
+    alt = tag[:8] + "A" + tag[9:]
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    wrong = tag[:2] + ("A" if tag[2] != "A" else "C") + tag[3:]
+    tags_ = [("t", tag, alt, 8), ("w", wrong, wrong[:8] + "A" + wrong[9:], 8), ("d", tag[:12] + tag[13:], alt[:12] + alt[13:], 8), ("z", tag[:8] + "T" + tag[9:], tag[:8] + "A" + tag[9:], 8), ("f", flip(tag), flip(alt), 11), ("n", "ACGTN" * 4, "ACGTN" * 4, 2)]
+    rows = [
+        ("t", "R", 0, "c", 11, "20M", "*", 0, 0, None, None, "ELIGIBLE_PLACEMENT", 0, 19), ("t", "A", 0, "c", 11, "20M", alt, -6, 1, None, None, "ELIGIBLE_PLACEMENT", 0, 19),
+        ("w", "R", 0, "c", 11, "20M", "*", -6, 1, -9, None, "ELIGIBLE_PLACEMENT", 1, 19), ("d", "R", 0, "c", 11, "12M1D7M", "*", -8, 1, None, None, "GAP_NEAR_FOCAL_SNP", 1, 19),
+        ("z", "R", 0, "c", 11, "20M", "*", -6, 1, None, None, "REFERENCE_ALLELE_UNSUPPORTED", 0, 19), ("f", "R", 16, "c", 11, "20M", tag, 0, 0, None, None, "ELIGIBLE_PLACEMENT", 0, 19),
+        ("t", "R", 0, "c", 11, "20M", "*", 0, 1, None, "EDIT_COUNT_DISAGREES", None, 0, 19), ("t", "R", 0, "c", 11, "20M", "*", -6, 0, None, "SCORE_DISAGREES", None, 0, 19),
+        ("t", "R", 1, "c", 11, "20M", "*", 0, 0, None, "PAIRED_OR_SUPPLEMENTARY", None, None, None), ("t", "R", 0, "c", 11, "19M", "*", 0, 0, None, "CIGAR_LENGTH_DIFFERS", None, None, None),
+        ("t", "R", 0, "c", 11, "20M1", "*", 0, 0, None, "INVALID_CIGAR", None, None, None), ("t", "R", 0, "c", 30, "20M", "*", 0, 0, None, "OUTSIDE_REFERENCE", None, None, None),
+        ("t", "R", 0, "c", 11, "20M", alt, 0, 0, None, "SEQUENCE_DIFFERS_FROM_TAG", None, None, None), ("q", "R", 0, "c", 11, "20M", "*", 0, 0, None, "UNKNOWN_TAG", None, None, None),
+        ("t", "R", 0, "c", 11, "20M", "*", None, 0, None, "MISSING_SCORE_OR_EDITS", None, None, None), ("t", "R", 0, "c", 16, "5S15M", "*", 0, 0, None, None, "NOT_FULL_END_TO_END", None, 19),
+    ]
+    names = "tag_id string, allele string, flag int, rname string, pos long, cigar string, seq string, score long, nm long, xs long, n int"
+    sam = spark.createDataFrame([(*r[:10], k) for k, r in enumerate(rows)] + [("t", "A", 4, "*", 0, "*", "*", None, None, None, 99)], names)
+    defs = spark.createDataFrame(tags_, "tag_id string, ref string, alt string, snp0 int")
+    contigs = spark.createDataFrame([("c", contig)], "contig_id string, bases string")
+    out = tags.sam_placements(sam, defs, contigs, size=16, overlap=32).collect()
+    assert len(out) == len(rows)
+    for _, _, _, _, pos, cigar, seq, score, nm, _, error, reason, edits, snp in rows:
+        assert any((r["start"], r["cigar"], r["score"], r["nm"], r["error"], r["reason"]) == (pos, cigar, score, nm, error, reason) and (edits is None or r["nonfocal_edits"] == edits) and (snp is None or r["snp"] == snp) for r in out), (cigar, error, reason)
+    with pytest.raises(Exception, match="alignment of"):
+        tags.checked_placements(tags.sam_placements(sam, defs, contigs, size=16, overlap=32)).collect()

@@ -46,3 +46,42 @@ def test_checks(spark, tmp_path):
     for _ in range(2):
         assert checks.cached(spark, str(tmp_path / "cache"), {"a": 1}, make).count() == 4
     assert len(calls) == 1
+
+
+def test_placements_against_tags_and_reference(spark, tmp_path):
+    """A variant that the second allele's tag carries is no edit; an allele that the reference lacks isn't supported."""
+    import random
+
+    from loomgene.sources.genomics import read_fasta, read_sam
+
+    rng = random.Random(1)
+    contig = "".join(rng.choice("ACGT") for _ in range(150_000))
+    (tmp_path / "r.fa").write_text(">1 first\n" + "\n".join(contig[i : i + 80] for i in range(0, len(contig), 80)) + "\n>2\nACGT\n")
+    other = lambda c, k=1: "ACGT"[("ACGT".index(c) + k) % 4]
+    defs, lines = [], []
+    for k, at in enumerate((10, 65_500, 65_530, 131_060, 140_000)):
+        ref = contig[at : at + 40]
+        if k == 4:  # neither allele is the reference's
+            ref = ref[:20] + other(ref[20], 2) + ref[21:]
+        alt = ref[:20] + other(contig[at + 20]) + ref[21:]
+        for _ in range(3):  # edits elsewhere, on both tags
+            p = rng.choice([x for x in range(40) if abs(x - 20) > 4])
+            if k == 3 and ref[p] == contig[at + p]:
+                ref, alt = (t[:p] + other(t[p]) + t[p + 1 :] for t in (ref, alt))
+        defs.append((f"k{k}", ref, alt, 20))
+        for name, t in (("ref", ref), ("alt", alt)):
+            nm = sum(a != b for a, b in zip(t, contig[at : at + 40]))
+            lines.append(f"k{k}|{name}\t0\t1\t{at + 1}\t42\t40M\t*\t0\t0\t{t}\t*\tAS:i:{-6 * nm}\tNM:i:{nm}\n")
+    lines.append("k9|ref\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t*\n")
+    (tmp_path / "x.sam").write_text("@HD\n" + "".join(lines))
+    cfg = study.Config([0], 1, 1, {"1": 150_000}, {}, 20, 100)
+    tags = spark.createDataFrame(defs, "tag_id string, ref string, alt string, snp0 int")
+    contigs = read_fasta(spark, str(tmp_path / "r.fa"), overlap=512, chunk=study.REFERENCE_CHUNK, tails=True)
+    got = {r["key"]: (r["status"], r["ref_position"]) for r in study.placements(read_sam(spark, str(tmp_path / "x.sam")), cfg, tags, contigs).collect()}
+    for k, at in ((0, 10), (1, 65_500), (2, 65_530)):
+        assert got[f"k{k}"] == ("RETAINED_PRIMARY_CHROMOSOME", at + 21)
+    assert got["k4"][0] == got["k9"][0] == "BOTH_ALLELES_REQUIRED"
+    assert got["k3"][0] in ("RETAINED_PRIMARY_CHROMOSOME", "BOTH_ALLELES_REQUIRED")
+    (tmp_path / "y.sam").write_text(lines[0].replace("NM:i:0", "NM:i:1"))
+    with pytest.raises(Exception, match="EDIT_COUNT_DISAGREES"):
+        study.placements(read_sam(spark, str(tmp_path / "y.sam")), cfg, tags, contigs).collect()
