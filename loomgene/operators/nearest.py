@@ -7,7 +7,7 @@ bucket comes from a small table of bucket edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +36,35 @@ def nearest(queries: DataFrame, points: DataFrame, keys: list[str], start: str =
     return joined.select("__q.*", gap.cast("long").alias("distance"))
 
 
+def nearest_each(queries: DataFrame, points: DataFrame, keys: list[str], label: Column, n_labels: int, start: str = "start", end: str = "end", pos: str = "pos", bucket: int = BUCKET) -> DataFrame:
+    """``queries`` with distances: as ``nearest``, an entry for the points of each label 0 to n_labels - 1.
+
+    Queries and positions go through the windows once, whatever the number of labels (62 at most): a position carries its labels as bits.
+    """
+    if not 0 < n_labels <= 62:
+        raise ValueError("1 to 62 labels")
+    slot = lambda c: F.floor(F.col(c) / bucket)
+    at = points.groupBy(*keys, pos).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), label)).alias("__m"))
+    q = queries.select(*keys, slot(start).alias("__b"), F.col(start).alias("__at"), F.lit(-1).alias("__kind"), F.struct(*queries.columns).alias("__q"), F.lit(None).cast("long").alias("__m"))
+    p = at.select(*keys, slot(pos).alias("__b"), F.col(pos).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), "__m")
+    both = q.unionByName(p)
+    inside, labels = [*keys, "__b"], range(n_labels)
+    own = lambda i: F.when(F.col("__m").bitwiseAND(F.lit(1 << i)) != 0, F.col("__at"))
+    up = W.partitionBy(*inside).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, -1)
+    down = W.partitionBy(*inside).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, -1)
+    seen = both.select("*", *[F.last(own(i), True).over(up).alias(f"__l{i}") for i in labels])
+    seen = seen.select("*", *[F.last(own(i), True).over(down).alias(f"__r{i}") for i in labels]).filter(F.col("__kind") == -1)
+    edges = both.groupBy(*inside).agg(*[f(own(i)).alias(f"__{n}{i}") for i in labels for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
+    edges = edges.select(*inside, *[F.last(f"__hi{i}", True).over(before).alias(f"__left{i}") for i in labels], *[F.last(f"__lo{i}", True).over(after).alias(f"__right{i}") for i in labels])
+    gaps = []
+    for i in labels:
+        left, right = F.coalesce(f"__l{i}", f"__left{i}"), F.coalesce(f"__r{i}", f"__right{i}")
+        gaps.append(F.least(F.col("__at") - left, F.greatest(right - F.col(f"__q.{end}"), F.when(right.isNotNull(), F.lit(0)))).cast("long"))
+    return seen.join(edges, inside).select("__q.*", F.array(*gaps).alias("distances"))
+
+
 def window_counts(distances: DataFrame, by: list[str], windows: list[int]) -> DataFrame:
     """Per group and flank: queries, those within the flank, and their share. A missing distance counts as a miss."""
     sums = distances.groupBy(*by).agg(F.count("*").alias("n_queries"), *[F.count_if(F.col("distance") <= w).alias(f"__{w}") for w in windows])
@@ -55,3 +84,30 @@ def band_pairs(left: DataFrame, right: DataFrame, key: str, width: int, left_pos
     spots = F.array(*[F.floor(F.col(right_pos) / width) + d for d in (-1, 0, 1)])
     b = right.withColumn("__b", F.explode(spots))
     return a.join(b, [key, "__b"]).filter(F.abs(F.col(left_pos) - F.col(right_pos)) <= width).drop("__b")
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], width: int = 1 << 10) -> DataFrame:
+    """All pairs of closed intervals that share a position, of any length: an equi-join on key and position bucket.
+
+    An interval stands in every bucket that it spans, of its own size: buckets double until it spans two at most, and meets the
+    other side's intervals of every size that occurs there. A pair is kept in the bucket of the larger size in which the overlap begins.
+    """
+
+    def level(s, e):
+        return F.greatest(F.ceil(F.log2(F.greatest((F.col(e) - F.col(s) + 1) / width, F.lit(1.0)))), F.lit(0)).cast("int")
+
+    def spots(s, e, at):
+        size = F.call_function("shiftleft", F.lit(width).cast("long"), at)
+        return F.sequence(F.floor(F.col(s) / size), F.floor(F.col(e) / size))
+
+    def levels(rows, s, e):
+        return rows.filter(F.col(s) <= F.col(e)).withColumn("__level", level(s, e))
+
+    x, y = levels(left, *a), levels(right, *b)
+    # Levels are at most 53 in number, so this table is small however large the sides are.
+    held = x.select("__level").distinct().withColumnRenamed("__level", "__x").join(y.select("__level").distinct().withColumnRenamed("__level", "__y"), F.lit(True))
+    side = lambda rows, own, s, e: rows.join(F.broadcast(held), F.col("__level") == F.col(own)).withColumn("__at", F.greatest("__x", "__y")).withColumn("__b", F.explode(spots(s, e, F.col("__at")))).drop("__level")
+    pairs = side(x, "__x", *a).join(side(y, "__y", *b), [key, "__x", "__y", "__at", "__b"])
+    first = F.greatest(F.col(a[0]), F.col(b[0]))
+    begins = F.floor(first / F.call_function("shiftleft", F.lit(width).cast("long"), F.col("__at"))) == F.col("__b")
+    return pairs.filter((first <= F.least(F.col(a[1]), F.col(b[1]))) & begins).drop("__x", "__y", "__at", "__b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgene.operators.nearest import band_pairs, nearest, range_neighbours, window_counts
+from loomgene.operators.nearest import band_pairs, nearest, nearest_each, overlap_pairs, range_neighbours, window_counts
 from loomgene.operators.sampling import bin_of, cut_points, dense_quotas, draw, hash_order, percentiles, replicate, requirements, spread
 from loomgene.plans.views import ARM_ROWS, COVERAGE, INTERVALS, LOCI, POINTS, SEED, WINDOWS, arms, intervals, loci
 
@@ -18,14 +18,29 @@ def _points(spark, sf):
     return arms(loci(spark, sf)).select(*KEYS, "pos").distinct()
 
 
-def _queries(points, spans):
-    """Every interval once for each resource and arm: nine at most, whatever the data's size."""
-    return spans.crossJoin(F.broadcast(points.select("resource", "arm").distinct()))
+def _sets(points, arms_):
+    """(resource, arm) of every point set, and the label of a point's set: nine at most, whatever the data's size."""
+    sets = [(r["resource"], a) for r in points.select("resource").distinct().orderBy("resource").collect() for a in arms_]
+    at = F.try_element_at(F.create_map(*[F.lit(x) for i, s in enumerate(sets) for x in ("|".join(s), i)]), F.concat_ws("|", "resource", "arm"))
+    return sets, at
 
 
-def distances(spark, sf):
-    points = _points(spark, sf)
-    return nearest(_queries(points, intervals(spark, sf)), points, KEYS)
+def _exploded(rows, sets, *columns):
+    """A row for each point set: ``columns``, resource, arm, distance."""
+    each = F.array(*[F.struct(F.lit(r).alias("resource"), F.lit(a).alias("arm"), F.col("distances")[i].alias("distance")) for i, (r, a) in enumerate(sets)])
+    return rows.select(*columns, F.inline(each))
+
+
+def wide_distances(spark, sf, arms_=("A", "B", "C"), where="true"):
+    """Intervals with a distance for each of the point sets, and the sets; what ``where`` leaves out never reaches the windows."""
+    points = _points(spark, sf).filter(F.col("arm").isin(*arms_))
+    sets, label = _sets(points, arms_)
+    return nearest_each(intervals(spark, sf).filter(where), points, ["chromosome"], label, len(sets)), sets
+
+
+def distances(spark, sf, arms_=("A", "B", "C"), where="true"):
+    rows, sets = wide_distances(spark, sf, arms_, where)
+    return _exploded(rows, sets, *[c for c in rows.columns if c != "distances"])
 
 
 def nearest_interval_distance(spark, sf):
@@ -40,15 +55,19 @@ def coverage_by_window(spark, sf):
 
 def paired_arm_transitions(spark, sf):
     """Per resource, set and flank: recovered by each arm, gains and losses of C against B; B must lie within A."""
-    d = distances(spark, sf).groupBy("resource", "query_set", "query_id").pivot("arm", ["A", "B", "C"]).agg(F.min("distance"))
-    rows = d.withColumn("flank_bp", F.explode(F.array(*[F.lit(w).cast("long") for w in WINDOWS])))
-    hit = {a: F.coalesce(F.col(a) <= F.col("flank_bp"), F.lit(False)) for a in "ABC"}
-    out = rows.groupBy("resource", "query_set", "flank_bp").agg(
-        F.count("*").alias("n_queries"), *[F.count_if(hit[a]).alias(f"n_{a.lower()}") for a in "ABC"],
-        F.count_if(~hit["B"] & hit["C"]).alias("n_gain"), F.count_if(hit["B"] & ~hit["C"]).alias("n_loss"), F.count_if(hit["B"] & ~hit["A"]).alias("__bad"),
-    )
-    checked = F.when((F.col("__bad") > 0) | (F.col("n_gain") - F.col("n_loss") != F.col("n_c") - F.col("n_b")), F.raise_error(F.lit("arms do not nest"))).otherwise(F.col("n_c") - F.col("n_b"))
-    return out.select("resource", "query_set", "flank_bp", "n_queries", "n_a", "n_b", "n_c", "n_gain", "n_loss", (F.col("n_b") - F.col("n_a")).alias("selection_delta"), checked.cast("long").alias("coordinate_delta"), (F.col("n_c") - F.col("n_a")).alias("total_delta"))
+    wide, sets = wide_distances(spark, sf)
+    place = {s: i for i, s in enumerate(sets)}
+    each = F.array(*[F.struct(F.lit(r).alias("resource"), *[F.col("distances")[place[r, a]].alias(a) for a in "ABC"]) for r in sorted({r for r, _ in sets})])
+    d = wide.select("query_set", F.inline(each))
+    hit = {(a, w): F.coalesce(F.col(a) <= w, F.lit(False)) for a in "ABC" for w in WINDOWS}
+    # One row per resource and set comes out of the map side; flanks are unfolded only then.
+    sums = {"n": lambda w: F.count("*"), "a": lambda w: F.count_if(hit["A", w]), "b": lambda w: F.count_if(hit["B", w]), "c": lambda w: F.count_if(hit["C", w])}
+    sums |= {"gain": lambda w: F.count_if(~hit["B", w] & hit["C", w]), "loss": lambda w: F.count_if(hit["B", w] & ~hit["C", w]), "bad": lambda w: F.count_if(hit["B", w] & ~hit["A", w])}
+    wide = d.groupBy("resource", "query_set").agg(*[f(w).alias(f"{k}{w}") for k, f in sums.items() for w in WINDOWS])
+    rows = wide.select("resource", "query_set", F.inline(F.array(*[F.struct(F.lit(w).cast("long").alias("flank_bp"), *[F.col(f"{k}{w}").alias(k) for k in sums]) for w in WINDOWS])))
+    checked = F.when((F.col("bad") > 0) | (F.col("gain") - F.col("loss") != F.col("c") - F.col("b")), F.raise_error(F.lit("arms do not nest"))).otherwise(F.col("c") - F.col("b"))
+    named = [F.col(k).alias(f"n_{'queries' if k == 'n' else k}") for k in ("n", "a", "b", "c", "gain", "loss")]
+    return rows.select("resource", "query_set", "flank_bp", *named, (F.col("b") - F.col("a")).alias("selection_delta"), checked.cast("long").alias("coordinate_delta"), (F.col("c") - F.col("a")).alias("total_delta"))
 
 
 def cohort_ledger(spark, sf):
@@ -73,20 +92,23 @@ def chromosome_quotas(spark, sf):
 
 
 def count_matched_resample(spark, sf):
+    """Each interval once per replicate; the point sets of a replicate are labels of its positions."""
     points = _points(spark, sf).filter("arm <> 'B'").withColumn("label", F.concat_ws(":", "resource", "arm", "chromosome"))
     drawn = _drawn(points, chromosome_quotas(spark, sf))
-    queries = intervals(spark, sf).crossJoin(F.broadcast(drawn.select("resource", "arm", "rep").distinct()))
-    d = nearest(queries, drawn, [*KEYS, "rep"])
-    counts = window_counts(d, ["resource", "arm", "query_set", "rep"], FLANKS)
+    sets, label = _sets(points, ("A", "C"))
+    queries = replicate(intervals(spark, sf).select("query_id", "chromosome", "start", "end", "query_set"), REPS)
+    wide = nearest_each(queries, drawn, ["chromosome", "rep"], label, len(sets))
+    counts = window_counts(_exploded(wide, sets, "query_set", "rep"), ["resource", "arm", "query_set", "rep"], FLANKS)
     return spread(counts.withColumn("value", F.col("n_recovered").cast("double")), ["resource", "arm", "query_set", "flank_bp"], "value")
 
 
 def _drawn(points, quotas):
+    """Per replicate, as many positions of each set and chromosome as its quota. Quotas are one row per arm and chromosome, left to the optimizer to send or shuffle."""
     by = ["resource", "arm", "chromosome"]
-    pool = replicate(points, REPS)
+    pool = replicate(points.join(quotas, ["arm", "chromosome"]), REPS)
     order = hash_order(SEED, F.col("label"), "rep", "pos")
     n = F.row_number().over(W.partitionBy("rep", *by).orderBy(order, "pos"))
-    return pool.join(F.broadcast(quotas), ["arm", "chromosome"]).withColumn("n", n).filter("n <= quota").select(*by, "rep", "pos")
+    return pool.withColumn("n", n).filter("n <= quota").select(*by, "rep", "pos")
 
 
 def gene_density_range(spark, sf):
@@ -124,8 +146,9 @@ def background_draws(spark, sf):
 
 def _drawn_counts(spark, sf):
     """Recovered genes of each draw: distances are computed once and shared by all draws."""
-    d = distances(spark, sf).filter("arm <> 'B'").select("resource", "arm", "query_id", "distance")
-    return window_counts(_draws(spark, sf).select("rep", "query_id").join(d, "query_id"), ["resource", "arm", "rep"], FLANKS)
+    wide, sets = wide_distances(spark, sf, ("A", "C"), "NOT candidate")
+    hits = wide.select("query_id", "distances").join(_draws(spark, sf).select("rep", "query_id"), "query_id")
+    return window_counts(_exploded(hits, sets, "rep"), ["resource", "arm", "rep"], FLANKS)
 
 
 def background_summary(spark, sf):
@@ -134,7 +157,7 @@ def background_summary(spark, sf):
 
 def background_percentile(spark, sf):
     by = ["resource", "arm", "flank_bp"]
-    seen = window_counts(distances(spark, sf).filter("arm <> 'B' AND candidate"), ["resource", "arm"], FLANKS).select(*by, F.col("n_recovered").alias("observed"))
+    seen = window_counts(distances(spark, sf, ("A", "C"), "candidate"), ["resource", "arm"], FLANKS).select(*by, F.col("n_recovered").alias("observed"))
     out = percentiles(_drawn_counts(spark, sf).withColumnRenamed("n_recovered", "value"), seen, by)
     return out.select(*by, "observed", *[F.round(c, 9).alias(c) for c in ("strict", "midrank", "inclusive")])
 
@@ -154,11 +177,8 @@ def interval_overlap_links(spark, sf):
     rows = intervals(spark, sf)
     a = rows.filter("candidate").select("chromosome", "query_id", "start", "end")
     b = rows.filter("NOT candidate AND biotype = 'F'").select("chromosome", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    gap = F.greatest(F.col("s2") - F.col("end"), F.col("start") - F.col("e2"), F.lit(0))
     near = nearest(nearest_ready(a), b.select("chromosome", F.explode(F.array("s2", "e2")).alias("pos")), ["chromosome"]).select("query_id", F.col("distance").alias("edge"))
-    width = 1024
-    # Intervals are shorter than a bucket, so overlapping ones start at most one bucket apart.
-    hits = band_pairs(a, b, "chromosome", width, "start", "s2").filter(gap == 0).groupBy("query_id").agg(F.count("*").alias("n_overlap"), F.count_if((F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("end"))).alias("n_contain"))
+    hits = overlap_pairs(a, b, "chromosome", ("start", "end"), ("s2", "e2")).groupBy("query_id").agg(F.count("*").alias("n_overlap"), F.count_if((F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("end"))).alias("n_contain"))
     joined = a.join(near, "query_id", "left").join(hits, "query_id", "left")
     return joined.select("query_id", F.coalesce("n_overlap", F.lit(0)).alias("n_overlap"), F.coalesce("n_contain", F.lit(0)).alias("n_contain"), F.when(F.col("n_overlap") > 0, 0).otherwise(F.col("edge")).cast("long").alias("nearest_gap"))
 

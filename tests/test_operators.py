@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgene.functions import scalars as S
 from loomgene.operators import adjusted, tags
 from loomgene.operators.dosage import correlate
-from loomgene.operators.nearest import band_pairs, nearest
+from loomgene.operators.nearest import band_pairs, nearest, nearest_each, overlap_pairs
 
 
 def test_nearest_equals_brute_force_across_buckets(spark):
@@ -169,3 +169,25 @@ def test_sam_placements_hold_against_tag_and_reference(spark):
         assert any((r["start"], r["cigar"], r["score"], r["nm"], r["error"], r["reason"]) == (pos, cigar, score, nm, error, reason) and (edits is None or r["nonfocal_edits"] == edits) and (snp is None or r["snp"] == snp) for r in out), (cigar, error, reason)
     with pytest.raises(Exception, match="alignment of"):
         tags.checked_placements(tags.sam_placements(sam, defs, contigs, size=16, overlap=32)).collect()
+
+
+def test_nearest_each_equals_nearest_per_label(spark):
+    rng = random.Random(9)
+    spans = [(i, rng.choice("12"), s := rng.randrange(500), s + rng.randrange(40)) for i in range(150)]
+    points = [(rng.choice("12"), rng.randrange(500), rng.randrange(3)) for _ in range(25)] + [("2", 7, 3)]
+    q = spark.createDataFrame(spans, "id int, chromosome string, start long, end long")
+    p = spark.createDataFrame(points, "chromosome string, pos long, label int")
+    got = {r["id"]: r["distances"] for r in nearest_each(q, p, ["chromosome"], F.col("label"), 4, bucket=32).collect()}
+    for i, c, s, e in spans:
+        want = [min((max(x - e, s - x, 0) for d, x, k in points if d == c and k == label), default=None) for label in range(4)]
+        assert got[i] == want
+
+
+def test_overlaps_of_any_length_equal_brute_force(spark):
+    rng = random.Random(10)
+    span = lambda: (s := rng.randrange(20_000), s + rng.choice([0, 3, 40, 900, 5_000, 15_000]))
+    a = [(i, rng.choice("12"), *span()) for i in range(120)] + [(999, "1", 10, 5)]
+    b = [(i, rng.choice("12"), *span()) for i in range(120)]
+    got = overlap_pairs(spark.createDataFrame(a, "i int, c string, s long, e long"), spark.createDataFrame(b, "j int, c string, s2 long, e2 long"), "c", ("s", "e"), ("s2", "e2"), width=64)
+    found = sorted((r["i"], r["j"]) for r in got.collect())
+    assert found == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= x[3] and max(x[2], y[2]) <= min(x[3], y[3]))
