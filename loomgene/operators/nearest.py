@@ -72,10 +72,14 @@ def window_counts(distances: DataFrame, by: list[str], windows: list[int]) -> Da
     return rows.select(*by, "x.flank_bp", "n_queries", "x.n_recovered", F.try_divide("x.n_recovered", "n_queries").alias("fraction_recovered"))
 
 
-def range_neighbours(rows: DataFrame, key: str, pos: str, radius: int, name: str) -> DataFrame:
-    """Other rows within ``radius`` on either side, by a RANGE frame."""
-    frame = W.partitionBy(key).orderBy(pos).rangeBetween(-radius, radius)
-    return rows.withColumn(name, F.count("*").over(frame) - 1)
+def range_neighbours(rows: DataFrame, key: str, pos: str, radius: int, name: str, bucket: int = BUCKET) -> DataFrame:
+    """Other rows within ``radius`` on either side: a RANGE frame per key and position bucket, to which rows near its edges are lent."""
+    width = max(bucket, 2 * radius)
+    own = F.floor(F.col(pos) / width)
+    spots = F.array_distinct(F.array(own, F.floor((F.col(pos) - radius) / width), F.floor((F.col(pos) + radius) / width)))
+    lent = rows.withColumn("__own", own).withColumn("__b", F.explode(spots))
+    frame = W.partitionBy(key, "__b").orderBy(pos).rangeBetween(-radius, radius)
+    return lent.withColumn(name, F.count("*").over(frame) - 1).filter(F.col("__b") == F.col("__own")).drop("__own", "__b")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, key: str, width: int, left_pos: str, right_pos: str) -> DataFrame:

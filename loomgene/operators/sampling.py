@@ -55,6 +55,12 @@ def requirements(targets: DataFrame, pool: DataFrame, strata: list[str]) -> Data
     return need.join(have, strata, "left").withColumn("available", F.coalesce("available", F.lit(0)))
 
 
+def filled(need: DataFrame) -> DataFrame:
+    """Requirements with the column quota; the query fails if a stratum has fewer members than it needs."""
+    short = F.raise_error(F.concat(F.lit("a stratum needs "), F.col("required"), F.lit(" members and has "), F.col("available"))).cast("long")
+    return need.withColumn("quota", F.when(F.col("required") > F.col("available"), short).otherwise(F.col("required"))).filter("quota > 0")
+
+
 def percentiles(draws: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
     """Strict, midrank and inclusive percentile of the observed value among the draws."""
     less, same, n = F.count_if(F.col("value") < F.col("observed")), F.count_if(F.col("value") == F.col("observed")), F.count("*")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgene.operators.nearest import band_pairs, nearest, nearest_each, overlap_pairs, range_neighbours, window_counts
-from loomgene.operators.sampling import bin_of, cut_points, dense_quotas, draw, hash_order, percentiles, replicate, requirements, spread
+from loomgene.operators.sampling import bin_of, cut_points, dense_quotas, draw, filled, hash_order, percentiles, replicate, requirements, spread
 from loomgene.plans.views import ARM_ROWS, COVERAGE, INTERVALS, LOCI, POINTS, SEED, WINDOWS, arms, intervals, loci
 
 REPS = 3
@@ -133,9 +133,9 @@ def _genes(spark, sf):
 
 def _draws(spark, sf, reps=REPS):
     genes = _genes(spark, sf)
-    quotas = requirements(genes.filter("candidate"), genes.filter("NOT candidate"), STRATA).select(*STRATA, F.col("required").alias("quota"))
+    quotas = filled(requirements(genes.filter("candidate"), genes.filter("NOT candidate"), STRATA)).select(*STRATA, "quota")
     pool = replicate(genes.filter("NOT candidate").select(*STRATA, "query_id"), reps)
-    return draw(pool, F.broadcast(quotas), STRATA, "rep", hash_order(SEED, "background", "rep", "query_id"), "query_id")
+    return draw(pool, quotas, STRATA, "rep", hash_order(SEED, "background", "rep", "query_id"), "query_id")
 
 
 def background_draws(spark, sf):

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from loomgene.operators import adjusted
 from loomgene.operators.dosage import MIN_SAMPLES, correlate, dosage, marker_quality
+from loomgene.operators.checks import CheckFailed
 from loomgene.operators.nearest import band_pairs as band_join
+from loomgene.operators.nearest import range_neighbours
 from loomgene.plans.views import calls, calls_sql
 
 BAND = 50_000
 BINS = [0, 5_000, 20_000, 50_000]
 FAR = 300_000
 SAMPLE = 200
+#: An inventory of more pairs fails.
+MOST_PAIRS = 2_000_000_000
 
 
 def _panel(spark, sf, second=False):
@@ -64,8 +68,20 @@ def band_pairs(spark, sf):
     return _band(spark, sf).select("chromosome", "i", "j", "distance")
 
 
+def within_cap(rows, most):
+    """Fails if either position makes more than ``most`` pairs within the band."""
+    for position in ("position", "corrected"):
+        pairs = (range_neighbours(rows, "chromosome", position, BAND, "near").agg(F.sum("near").alias("n")).first()["n"] or 0) // 2
+        if pairs > most:
+            raise CheckFailed(f"{pairs} pairs by {position}, more than {most}")
+
+
 def pair_inventory_union(spark, sf):
-    """Pairs near by the original or by the corrected position, with a flag for each; more than the cap fail, none are cut."""
+    """Pairs near by the original or by the corrected position, with a flag for each.
+
+    More than MOST_PAIRS fail, none are cut: pairs are counted per marker by RANGE frames before any is listed.
+    """
+    within_cap(_panel(spark, sf).select("chromosome", "marker", "position", "corrected"), MOST_PAIRS)
     flag = lambda df, a, b: df.select("i", "j", F.lit(a).alias("o"), F.lit(b).alias("c"))
     both = flag(_band(spark, sf), True, False).unionByName(flag(_band(spark, sf, "corrected"), False, True))
     return both.groupBy("i", "j").agg(F.bool_or("o").alias("original_local"), F.bool_or("c").alias("corrected_local"))
@@ -113,30 +129,58 @@ def context_pair_sample(spark, sf):
     return hit.withColumn("other_at", F.col("skip") + F.col("rank") - F.col("lo") + 1).join(partner, "other_at").select("pair_class", "rank", F.col("marker").alias("a"), F.col("other").alias("b"))
 
 
-def _pairs(spark, sf, drop=0):
-    rows = _band(spark, sf, extra=("dosage",))
-    cut = lambda c: F.slice(c, drop + 1, 10_000) if drop else F.col(c)
+def _correlated(rows, drop=0):
+    cut = lambda c: F.slice(c, drop + 1, F.greatest(F.size(c) - drop, F.lit(0))) if drop else F.col(c)
     return correlate(rows.withColumns({"x": cut("dosage_i"), "y": cut("dosage_j")}), "x", "y").drop("dosage_i", "dosage_j", "pi", "pj")
 
 
+def _pairs(spark, sf, drop=0):
+    return _correlated(_band(spark, sf, extra=("dosage",)), drop)
+
+
 def pairwise_r2(spark, sf):
     return _pairs(spark, sf).select("i", "j", "n", "status", F.round("r2", 9).alias("r2"))
 
 
-def r2_distance_profile(spark, sf):
-    """Per chromosome and overall, and per distance bin (zero alone; above the lower, up to the upper edge): empty bins too."""
-    pairs = _pairs(spark, sf)
+def _profile(binned, names, *by):
+    """Per chromosome and overall (ALL), and per distance bin, empty ones too, for each of ``by``."""
+    sets = binned.groupingSets([[*by, "chromosome", "bin_bp"], [*by, "bin_bp"]], *by, "chromosome", "bin_bp")
+    q = lambda p: F.round(F.percentile("r2", p), 9)
+    stats = sets.agg(
+        F.count("*").alias("n_pairs"), F.count("r2").alias("n_valid"), F.round(F.avg("r2"), 9).alias("mean_r2"), q(0.5).alias("median_r2"), q(0.9).alias("q90_r2"), q(0.95).alias("q95_r2"),
+        F.min(F.when(F.col("r2").isNotNull(), F.col("n"))).alias("least_n"), F.max(F.when(F.col("r2").isNotNull(), F.col("n"))).alias("most_n"), F.count_if(F.col("r2") >= 0.2).alias("n_high"),
+    ).withColumn("chromosome", F.coalesce("chromosome", F.lit("ALL")))
+    dense = names.withColumn("bin_bp", F.explode(F.array(*[F.lit(b).cast("long") for b in BINS])))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_valid")]
+    return dense.join(stats, [*by, "chromosome", "bin_bp"], "left").select(*by, "chromosome", "bin_bp", *zero, "mean_r2", "median_r2", "q90_r2", "q95_r2", "least_n", "most_n", F.coalesce("n_high", F.lit(0)).alias("n_high"))
+
+
+def _binned(pairs):
+    """Zero is a bin of its own; above it a bin reaches from above its lower to its upper edge."""
     edge = F.when(F.col("distance") == 0, 0)
     for hi in BINS[1:]:
         edge = edge.when(F.col("distance") <= hi, hi)
-    binned = pairs.withColumn("bin_bp", edge.cast("long"))
-    binned.createOrReplaceTempView("__profile")
-    stats = spark.sql("""SELECT chromosome, bin_bp, count(*) AS n_pairs, count(r2) AS n_valid, round(avg(r2), 9) AS mean_r2, round(percentile(r2, 0.5), 9) AS median_r2, round(percentile(r2, 0.95), 9) AS q95_r2,
-        count_if(r2 >= 0.2) AS n_high FROM __profile GROUP BY GROUPING SETS ((chromosome, bin_bp), (bin_bp))""").withColumn("chromosome", F.coalesce("chromosome", F.lit("ALL")))
-    names = calls(spark, sf).select("chromosome").distinct().unionByName(spark.createDataFrame([("ALL",)], "chromosome string"))
-    dense = names.withColumn("bin_bp", F.explode(F.array(*[F.lit(b).cast("long") for b in BINS])))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_valid")]
-    return dense.join(stats, ["chromosome", "bin_bp"], "left").select("chromosome", "bin_bp", *zero, "mean_r2", "median_r2", "q95_r2", F.coalesce("n_high", F.lit(0)).alias("n_high"))
+    return pairs.withColumn("bin_bp", edge.cast("long"))
+
+
+def _names(spark, sf):
+    return calls(spark, sf).select("chromosome").distinct().unionByName(spark.createDataFrame([("ALL",)], "chromosome string"))
+
+
+def r2_distance_profile(spark, sf):
+    return _profile(_binned(_pairs(spark, sf)), _names(spark, sf))
+
+
+def r2_profile_by_basis(spark, sf):
+    """The profile for all samples and without the first two, each by original and by corrected distance."""
+    rows = None
+    for basis, position in (("original", "position"), ("corrected", "corrected")):
+        near = _band(spark, sf, position, extra=("dosage",))
+        for group, drop in (("all_samples", 0), ("without_first_two", 2)):
+            part = _correlated(near, drop).select(F.lit(group).alias("sample_group"), F.lit(basis).alias("basis"), "chromosome", "distance", "n", "r2")
+            rows = part if rows is None else rows.unionByName(part)
+    kinds = spark.createDataFrame([(g, b) for g in ("all_samples", "without_first_two") for b in ("original", "corrected")], "sample_group string, basis string")
+    return _profile(_binned(rows), _names(spark, sf).crossJoin(F.broadcast(kinds)), "sample_group", "basis")
 
 
 def sample_sensitivity(spark, sf):
@@ -239,7 +283,7 @@ def tolerant_neighbor(spark, sf):
     return adjusted.tolerant_best(_both_ways(_pairs(spark, sf))).withColumn("r2", F.round("r2", 9))
 
 
-QUERIES = {f.__name__: f for f in (dosage_decode, symbol_totals, symbol_patterns, marker_qc, sample_qc, band_pairs, pair_inventory_union, window_membership_changes, context_pair_sample, pairwise_r2, r2_distance_profile, sample_sensitivity, best_neighbor, neighbor_summary, panel_concordance, discordance_transitions, common_panel, relationship_kernel, adjusted_r2, adjustment_transitions, thinned_background, tolerant_neighbor)}
+QUERIES = {f.__name__: f for f in (dosage_decode, symbol_totals, symbol_patterns, marker_qc, sample_qc, band_pairs, pair_inventory_union, window_membership_changes, context_pair_sample, pairwise_r2, r2_distance_profile, r2_profile_by_basis, sample_sensitivity, best_neighbor, neighbor_summary, panel_concordance, discordance_transitions, common_panel, relationship_kernel, adjusted_r2, adjustment_transitions, thinned_background, tolerant_neighbor)}
 
 _CALLS = calls_sql()
 _D = "CASE symbol WHEN 'A' THEN 0 WHEN 'M' THEN 1 WHEN 'C' THEN 2 END"
@@ -261,6 +305,9 @@ _PAIRS = f"WITH {_CALLS}, d AS (SELECT *, {_D} AS d FROM calls), {_BAND}, {_r2('
 _BEST = f"""{_PAIRS}, ways AS (SELECT i AS marker, j AS partner, r2 FROM pr UNION ALL SELECT j, i, r2 FROM pr), b AS (SELECT marker, count(*) AS n_partners, count(r2) AS n_valid FROM ways GROUP BY 1),
 t AS (SELECT marker, partner, r2 FROM (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY r2 DESC, partner) AS n FROM ways WHERE r2 IS NOT NULL) WHERE n = 1),
 best AS (SELECT m.marker, coalesce(n_partners, 0) AS n_partners, partner, round(r2, 9) AS r2, CASE WHEN n_valid > 0 THEN 'EVALUABLE' WHEN n_partners > 0 THEN 'NO_VALID_PAIR' ELSE 'NO_OTHER_MARKER_IN_WINDOW' END AS status FROM (SELECT DISTINCT marker FROM calls) m LEFT JOIN b USING (marker) LEFT JOIN t USING (marker))"""
+_BIN = "CAST(CASE WHEN distance = 0 THEN 0 WHEN distance <= 5000 THEN 5000 WHEN distance <= 20000 THEN 20000 ELSE 50000 END AS BIGINT)"
+_STATS = "count(*) AS n_pairs, count(r2) AS n_valid, round(avg(r2), 9) AS mean_r2, round(quantile_cont(r2, 0.5), 9) AS median_r2, round(quantile_cont(r2, 0.9), 9) AS q90_r2, round(quantile_cont(r2, 0.95), 9) AS q95_r2, min(n) FILTER (r2 IS NOT NULL) AS least_n, max(n) FILTER (r2 IS NOT NULL) AS most_n, count(*) FILTER (r2 >= 0.2) AS n_high"
+_FILLED = "coalesce(n_pairs, 0) AS n_pairs, coalesce(n_valid, 0) AS n_valid, mean_r2, median_r2, q90_r2, q95_r2, least_n, most_n, coalesce(n_high, 0) AS n_high"
 _TWO = f"WITH {_CALLS}, {calls_sql('calls2', True)}, two AS (SELECT a.marker, a.sample, a.symbol, b.symbol AS symbol2 FROM calls a JOIN calls2 b USING (marker, sample))"
 _CHANGES = " UNION ALL ".join(f"""SELECT chromosome, count(*) FILTER (o AND c) AS n_both, count(*) FILTER (o AND NOT c) AS n_original_only, count(*) FILTER (c AND NOT o) AS n_corrected_only, CAST({w} AS BIGINT) AS window_bp
  FROM (SELECT a.chromosome, abs(a.position - b.position) <= {w} AS o, abs(a.corrected - b.corrected) <= {w} AS c FROM mk a JOIN mk b ON a.chromosome = b.chromosome AND a.marker < b.marker) WHERE o OR c GROUP BY 1""" for w in (10_000, 50_000))
@@ -280,10 +327,19 @@ SELECT i, j, o AS original_local, c AS corrected_local FROM p WHERE o OR c""",
 w AS (SELECT pair_class, count(*) AS whole FROM p GROUP BY 1), k AS (SELECT pair_class, whole * k // {SAMPLE} AS low, whole * (k + 1) // {SAMPLE} AS high, k FROM w, range({SAMPLE}) t(k)),
 r AS (SELECT pair_class, low + ((k * 1103515245 + 12345) % 2147483648) % (high - low) AS rank FROM k WHERE high > low) SELECT pair_class, rank, a, b FROM p JOIN r USING (pair_class, rank)""",
     "pairwise_r2": f"{_PAIRS} SELECT i, j, n, status, round(r2, 9) AS r2 FROM pr",
-    "r2_distance_profile": f"""{_PAIRS}, b AS (SELECT chromosome, r2, CAST(CASE WHEN distance = 0 THEN 0 WHEN distance <= 5000 THEN 5000 WHEN distance <= 20000 THEN 20000 ELSE 50000 END AS BIGINT) AS bin_bp FROM pr),
-s AS (SELECT coalesce(chromosome, 'ALL') AS chromosome, bin_bp, count(*) AS n_pairs, count(r2) AS n_valid, round(avg(r2), 9) AS mean_r2, round(quantile_cont(r2, 0.5), 9) AS median_r2, round(quantile_cont(r2, 0.95), 9) AS q95_r2, count(*) FILTER (r2 >= 0.2) AS n_high FROM b GROUP BY GROUPING SETS ((chromosome, bin_bp), (bin_bp))),
+    "r2_distance_profile": f"""{_PAIRS}, b AS (SELECT chromosome, r2, n, {_BIN} AS bin_bp FROM pr),
+s AS (SELECT coalesce(chromosome, 'ALL') AS chromosome, bin_bp, {_STATS} FROM b GROUP BY GROUPING SETS ((chromosome, bin_bp), (bin_bp))),
 g AS (SELECT chromosome, CAST(bin AS BIGINT) AS bin_bp FROM (SELECT DISTINCT chromosome FROM calls UNION ALL SELECT 'ALL'), (VALUES (0), (5000), (20000), (50000)) v(bin))
-SELECT g.chromosome, g.bin_bp, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_valid, 0) AS n_valid, mean_r2, median_r2, q95_r2, coalesce(n_high, 0) AS n_high FROM g LEFT JOIN s ON g.chromosome = s.chromosome AND g.bin_bp = s.bin_bp""",
+SELECT g.chromosome, g.bin_bp, {_FILLED} FROM g LEFT JOIN s ON g.chromosome = s.chromosome AND g.bin_bp = s.bin_bp""",
+    "r2_profile_by_basis": f"""WITH {_CALLS}, d AS (SELECT *, {_D} AS d FROM calls), {_M},
+nb AS (SELECT a.chromosome, a.marker AS i, b.marker AS j, basis, abs(CASE basis WHEN 'original' THEN a.position - b.position ELSE a.corrected - b.corrected END) AS distance FROM mk a JOIN mk b ON a.chromosome = b.chromosome AND a.marker < b.marker, (VALUES ('original'), ('corrected')) k(basis)),
+near AS (SELECT * FROM nb WHERE distance <= {BAND}),
+x AS (SELECT near.*, sample_group, p.d AS x, q.d AS y FROM near JOIN d p ON p.marker = i JOIN d q ON q.marker = j AND q.sample = p.sample, (VALUES ('all_samples', 0), ('without_first_two', 2)) g(sample_group, skip) WHERE p.sample >= skip),
+e AS (SELECT sample_group, basis, chromosome, i, j, distance, count(x + y) AS n, sum(x) FILTER (y IS NOT NULL) AS sx, sum(y) FILTER (x IS NOT NULL) AS sy, sum(x * y) AS sxy, sum(x * x) FILTER (y IS NOT NULL) AS sxx, sum(y * y) FILTER (x IS NOT NULL) AS syy FROM x GROUP BY ALL),
+b AS (SELECT *, CASE WHEN n >= {MIN_SAMPLES} AND n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN least(1.0, CAST(n * sxy - sx * sy AS DOUBLE) * CAST(n * sxy - sx * sy AS DOUBLE) / (CAST(n * sxx - sx * sx AS DOUBLE) * CAST(n * syy - sy * sy AS DOUBLE))) END AS r2, {_BIN} AS bin_bp FROM e),
+s AS (SELECT sample_group, basis, coalesce(chromosome, 'ALL') AS chromosome, bin_bp, {_STATS} FROM b GROUP BY GROUPING SETS ((sample_group, basis, chromosome, bin_bp), (sample_group, basis, bin_bp))),
+g AS (SELECT sample_group, basis, chromosome, CAST(bin AS BIGINT) AS bin_bp FROM (SELECT DISTINCT chromosome FROM calls UNION ALL SELECT 'ALL'), (VALUES (0), (5000), (20000), (50000)) v(bin), (VALUES ('all_samples'), ('without_first_two')) h(sample_group), (VALUES ('original'), ('corrected')) k(basis))
+SELECT g.sample_group, g.basis, g.chromosome, g.bin_bp, {_FILLED} FROM g LEFT JOIN s USING (sample_group, basis, chromosome, bin_bp)""",
     "sample_sensitivity": f"""{_PAIRS}, {_r2('lw', 'AND x.sample >= 2')}, b AS (SELECT pr.chromosome, pr.r2 AS a, lw.r2 AS b, abs(pr.r2 - lw.r2) AS d FROM pr JOIN lw USING (i, j))
 SELECT chromosome, count(*) AS n_pairs, count(d) AS n_both, round(quantile_cont(d, 0.5), 9) AS median_abs, round(quantile_cont(d, 0.95), 9) AS q95_abs, round(max(d), 9) AS max_abs, count(*) FILTER (a >= 0.1 AND b < 0.1) AS n_lost, count(*) FILTER (a < 0.1 AND b >= 0.1) AS n_gained FROM b GROUP BY 1""",
     "best_neighbor": f"{_BEST} SELECT * FROM best",
