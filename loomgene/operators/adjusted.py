@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RIDGES = {"V": 1e-6, "V_RIDGE": 0.01}
 MODELS = ("RAW", "PC2", "PC5", "V", "V_RIDGE", "V_PC2")
@@ -57,6 +58,14 @@ def held_out_models(grams: list) -> dict[str, dict]:
     return out
 
 
+def finite_matrix(x: np.ndarray) -> np.ndarray:
+    """A matrix of numbers; anything missing or infinite is an error, never filled in."""
+    x = np.asarray(x, float)
+    if x.ndim != 2 or not x.size or not np.isfinite(x).all():
+        raise ValueError("a matrix must have two dimensions and finite entries")
+    return x
+
+
 def projection(model: dict, name: str) -> np.ndarray:
     """T with T'T = P: whitened by the covariance of the model, free of its nuisance columns."""
     n = len(model["kernel"])
@@ -64,13 +73,20 @@ def projection(model: dict, name: str) -> np.ndarray:
     nuisance = np.hstack([ones, model["axes"][:, : int(name[-1])]]) if "PC" in name else ones
     if name.startswith("V"):
         cov = model["kernel"] + RIDGES["V_RIDGE" if name == "V_RIDGE" else "V"] * np.eye(n) + np.ones((n, n)) / n
-        values, vectors = np.linalg.eigh(cov)
+        values, vectors = np.linalg.eigh(finite_matrix(cov))
+        if values.min() < -1e-8 * values.max():
+            raise ValueError(f"the covariance of {name} isn't positive semidefinite")
         white = (vectors / np.sqrt(np.maximum(values, values.max() * 1e-12))).T
     else:
         white = np.eye(n)
-    q, r = np.linalg.qr(white @ nuisance)
-    q = q[:, np.abs(np.diag(r)) > 1e-10]
-    return white - q @ (q.T @ white)
+    q, r = np.linalg.qr(white @ finite_matrix(nuisance))
+    rank = np.abs(np.diag(r)) > 1e-10
+    if not rank.all() or nuisance.shape[1] >= n:
+        raise ValueError(f"nuisance columns of {name} aren't independent")
+    out = white - q @ (q.T @ white)
+    if np.abs(out @ nuisance).max() > 1e-6 * max(1.0, np.abs(white).max()):
+        raise ValueError(f"the projection of {name} isn't orthogonal to its nuisance columns")
+    return out
 
 
 def unit_vectors(markers: DataFrame, models: dict[str, dict]) -> DataFrame:
@@ -123,3 +139,10 @@ def tolerant_best(pairs: DataFrame, tolerance: float = 1e-12) -> DataFrame:
         return pd.DataFrame([(rows["marker"].iloc[0], who, best)], columns=["marker", "partner", "r2"])
 
     return pairs.filter("r2 IS NOT NULL").groupBy("marker").applyInPandas(scan, "marker long, partner long, r2 double")
+
+
+def best_partner(pairs: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Of the partners (marker, partner, position, r2) within the tolerance of a marker's best the first by position, then by partner."""
+    most = pairs.filter("r2 IS NOT NULL").groupBy("marker").agg(F.max("r2").alias("most"))
+    tied = pairs.join(most, "marker").filter(F.col("most") - F.col("r2") <= tolerance)
+    return tied.groupBy("marker").agg(F.min(F.struct("position", "partner", "r2")).alias("x"), F.count("*").alias("n_tied")).select("marker", "x.partner", "x.position", "x.r2", "n_tied")

@@ -15,15 +15,43 @@ SEED = 24
 CAP, GAP, FLOOR = 10, 6, -30
 
 
-def select_seed(tag: Column, k: int = SEED) -> Column:
-    """The k-mer with most distinct letters, then most distinct letter pairs, then nearest to the middle, then leftmost: (text, offset)."""
+def select_seed(tag: Column, snp: Column, k: int = SEED) -> Column:
+    """The k-mer without the variant's place that has the highest letter entropy, then most distinct letter pairs, then is nearest to the middle, then leftmost: (seed, offset); null if none fits."""
     last = F.length(tag) - k
-    grams = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(
-        F.size(F.array_distinct(F.split(F.substr(tag, o + 1, F.lit(k)), ""))).alias("letters"),
-        F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.substr(tag, o + i, F.lit(2))))).alias("twos"),
-        (-F.abs(2 * o - last)).alias("middle"), (-o).alias("place"), F.substr(tag, o + 1, F.lit(k)).alias("seed")))
-    best = F.array_max(grams)
-    return F.when(last >= 0, F.struct(best["seed"].alias("seed"), (-best["place"]).alias("offset")))
+    size = float(k)
+
+    def gram(o):
+        seed = F.substr(tag, o + 1, F.lit(k))
+        share = lambda x: (F.lit(k) - F.length(F.replace(seed, F.lit(x), F.lit("")))) / size
+        entropy = sum((F.when(share(x) > 0, share(x) * F.log2(share(x))).otherwise(0.0) for x in "ACGT"), F.lit(0.0))
+        twos = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.substr(seed, i, F.lit(2)))))
+        # Rounded, as equal counts in another order of letters differ in the last bits.
+        return F.struct(F.round(-entropy, 9).alias("entropy"), twos.alias("twos"), (-F.abs(2 * o + k - F.length(tag))).alias("middle"), (-o).alias("place"), seed.alias("seed"))
+
+    free = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda o: (o > snp) | (snp >= o + k))
+    best = F.array_max(F.transform(free, gram))
+    return F.when((last >= 0) & (F.size(free) > 0), F.struct(best["seed"].alias("seed"), (-best["place"]).alias("offset")))
+
+
+def eligible_tags(rows: DataFrame, least: int, k: int = SEED) -> DataFrame:
+    """``rows`` with ref_tag, alt_tag, snp0 and eligibility: the first of eight reasons that applies, else ELIGIBLE.
+
+    ``rows``: five_flank, three_flank, variation, reference_sequence, ref_lookup_status, reference_key. Flanks may be empty.
+    """
+    clean = lambda c: F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s", ""))
+    letters = lambda c, empty: clean(c).rlike("^[ACGT]*$" if empty else "^[ACGT]+$")
+    change = F.upper(F.trim(F.coalesce(F.col("variation"), F.lit(""))))
+    of = lambda i: F.regexp_extract(change, r"^([ACGT])\s*>\s*([ACGT])$", i)
+    fine = letters("five_flank", True) & letters("three_flank", True) & (of(1) != "") & (of(1) != of(2))
+    out = rows.withColumns({f"{n}_tag": F.when(fine, F.concat(clean("five_flank"), of(i), clean("three_flank"))) for n, i in (("ref", 1), ("alt", 2))})
+    out = out.withColumn("snp0", F.when(fine, F.length(clean("five_flank"))))
+    tag = F.col("ref_tag")
+    reason = (
+        F.when(tag.isNull(), "UNSUPPORTED_SEQUENCE_OR_VARIATION").when(~letters("reference_sequence", False), "UNSUPPORTED_REFERENCE_TAG").when(tag != clean("reference_sequence"), "FLANK_REFERENCE_TAG_MISMATCH")
+        .when(~F.col("ref_lookup_status").eqNullSafe("exact_ref_tag"), "PRIOR_REFERENCE_KEY_NOT_CONFIRMED").when(F.trim(F.coalesce(F.col("reference_key"), F.lit(""))) == "", "MISSING_REFERENCE_KEY")
+        .when(F.length(tag) < least, "TAG_TOO_SHORT").when(F.greatest(F.col("snp0"), F.length(tag) - F.col("snp0") - 1) < k, "NO_SNP_FREE_SEED").otherwise("ELIGIBLE")
+    )
+    return out.withColumn("eligibility", reason)
 
 
 def exact_hits(tags: DataFrame, contigs: DataFrame, k: int = SEED, block_bytes: int = 4 << 20) -> DataFrame:

@@ -283,7 +283,14 @@ def tolerant_neighbor(spark, sf):
     return adjusted.tolerant_best(_both_ways(_pairs(spark, sf))).withColumn("r2", F.round("r2", 9))
 
 
-QUERIES = {f.__name__: f for f in (dosage_decode, symbol_totals, symbol_patterns, marker_qc, sample_qc, band_pairs, pair_inventory_union, window_membership_changes, context_pair_sample, pairwise_r2, r2_distance_profile, r2_profile_by_basis, sample_sensitivity, best_neighbor, neighbor_summary, panel_concordance, discordance_transitions, common_panel, relationship_kernel, adjusted_r2, adjustment_transitions, thinned_background, tolerant_neighbor)}
+def nearest_best_partner(spark, sf):
+    """Best partner by r2 to one digit, so that ties occur: the first by corrected position."""
+    ways = _both_ways(_pairs(spark, sf)).withColumn("r2", F.round("r2", 1))
+    at = _panel(spark, sf).select(F.col("marker").alias("partner"), F.col("corrected").alias("position"))
+    return adjusted.best_partner(ways.join(at, "partner"))
+
+
+QUERIES = {f.__name__: f for f in (dosage_decode, symbol_totals, symbol_patterns, marker_qc, sample_qc, band_pairs, pair_inventory_union, window_membership_changes, context_pair_sample, pairwise_r2, r2_distance_profile, r2_profile_by_basis, sample_sensitivity, best_neighbor, neighbor_summary, panel_concordance, discordance_transitions, common_panel, relationship_kernel, adjusted_r2, adjustment_transitions, thinned_background, tolerant_neighbor, nearest_best_partner)}
 
 _CALLS = calls_sql()
 _D = "CASE symbol WHEN 'A' THEN 0 WHEN 'M' THEN 1 WHEN 'C' THEN 2 END"
@@ -313,6 +320,9 @@ _CHANGES = " UNION ALL ".join(f"""SELECT chromosome, count(*) FILTER (o AND c) A
  FROM (SELECT a.chromosome, abs(a.position - b.position) <= {w} AS o, abs(a.corrected - b.corrected) <= {w} AS c FROM mk a JOIN mk b ON a.chromosome = b.chromosome AND a.marker < b.marker) WHERE o OR c GROUP BY 1""" for w in (10_000, 50_000))
 
 ORACLE_SQL = {
+    "nearest_best_partner": f"""{_PAIRS}, w AS (SELECT i AS marker, j AS partner, round(r2, 1) AS r2 FROM pr UNION ALL SELECT j, i, round(r2, 1) FROM pr), b AS (SELECT *, max(r2) OVER (PARTITION BY marker) AS most FROM w WHERE r2 IS NOT NULL),
+t AS (SELECT b.marker, b.partner, mk.corrected AS position, b.r2, count(*) OVER (PARTITION BY b.marker) AS n_tied, row_number() OVER (PARTITION BY b.marker ORDER BY mk.corrected, b.partner) AS rn FROM b JOIN mk ON mk.marker = b.partner WHERE most - r2 <= 1e-12)
+SELECT marker, partner, position, r2, n_tied FROM t WHERE rn = 1""",
     "dosage_decode": f"""WITH {_CALLS} SELECT marker, count(*) FILTER (symbol = 'A') AS n_0, count(*) FILTER (symbol = 'M') AS n_1, count(*) FILTER (symbol = 'C') AS n_2, count(*) FILTER (symbol = 'N') AS n_missing, string_agg(coalesce(CAST({_D} AS VARCHAR), '.'), '' ORDER BY sample) AS dosages FROM calls GROUP BY 1""",
     "symbol_totals": f"WITH {_CALLS} SELECT symbol, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS fraction FROM calls GROUP BY 1",
     "symbol_patterns": f"WITH {_CALLS}, p AS (SELECT marker, string_agg(symbol, '' ORDER BY symbol) AS pattern FROM (SELECT DISTINCT marker, symbol FROM calls) GROUP BY 1) SELECT pattern, count(*) AS n_markers, min(marker) AS first_marker FROM p GROUP BY 1",

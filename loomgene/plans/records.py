@@ -120,6 +120,30 @@ def _contigs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("contig_id"), F.col("text").alias("bases"))
 
 
+def _bases(spark, sf):
+    """Part names as sequences of 40 to 90 bases."""
+    base = F.translate(F.regexp_replace(F.upper(F.concat("p_name", "p_type", "p_name", "p_type", "p_brand", "p_name")), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    return table(spark, sf, "part").select("p_partkey", "p_size", base.alias("s"))
+
+
+def seed_choice(spark, sf):
+    rows = _bases(spark, sf).select("p_partkey", T.select_seed(F.col("s"), F.col("p_size") % 30).alias("x"))
+    return rows.select("p_partkey", "x.seed", F.col("x.offset").cast("long").alias("seed_offset"))
+
+
+def tag_eligibility(spark, sf):
+    """Flanks and variants of part sequences, each ninth of them wrong in another way."""
+    k, s = F.col("p_partkey") % 9, F.col("s")
+    rows = _bases(spark, sf).filter("length(s) >= 41").select(
+        "p_partkey", F.when(k == 0, "ACGN").otherwise(F.lower(F.substring(s, 1, 20))).alias("five_flank"), F.when(k == 5, "AC").when(k == 6, F.expr("substring(s, 22, 19)")).otherwise(F.expr("substring(s, 22)")).alias("three_flank"),
+        F.when(k == 7, "A>A").otherwise(F.concat(F.substring(s, 21, 1), F.lit(" > "), F.translate(F.substring(s, 21, 1), "ACGT", "CGTA"))).alias("variation"),
+        F.when(k == 1, "").when(k == 2, F.concat(s, F.lit("A"))).when(k == 5, F.concat(F.substring(s, 1, 21), F.lit("AC"))).when(k == 6, F.substring(s, 1, 40)).otherwise(s).alias("reference_sequence"),
+        F.when(k == 3, "sequence_mismatch").otherwise("exact_ref_tag").alias("ref_lookup_status"), F.when(k == 4, " ").otherwise("key").alias("reference_key"),
+    )
+    out = T.eligible_tags(rows, 30)
+    return out.select("p_partkey", "eligibility", F.when(F.col("eligibility") == "ELIGIBLE", F.length("ref_tag")).cast("long").alias("tag_length"), F.when(F.col("eligibility") == "ELIGIBLE", F.sha2("alt_tag", 256)).alias("alt_sha256"))
+
+
 def tag_exact_hits(spark, sf):
     """Benchmark items as tags, documents as contigs; forward strand."""
     return T.exact_hits(_tags(spark, sf), _contigs(spark, sf)).filter("strand = '+'").select("tag_id", "contig_id", "start")
@@ -223,7 +247,7 @@ def scalar_comparisons(spark, sf):
     return a.select("key", S.scalar_comparison(F.col("a"), b).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, tag_exact_hits, mapping_summary, reverse_complement, sam_validation, placement_decision, allele_combination, contiguous_groups, tag_length_summary, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
+QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, seed_choice, tag_eligibility, tag_exact_hits, mapping_summary, reverse_complement, sam_validation, placement_decision, allele_combination, contiguous_groups, tag_length_summary, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
 
 _HITS = """hits AS (SELECT user_id AS tag_id, event_id % 2 AS allele, concat_ws(':', event_id % 3, event_type) AS locus, CAST(-event_id % 31 AS BIGINT) AS score, CASE WHEN event_id % 5 = 0 THEN 'TOO_MANY_NONFOCAL_EDITS' ELSE 'ELIGIBLE_PLACEMENT' END AS reason,
  CASE WHEN event_id % 11 = 0 THEN CAST(-event_id % 31 AS BIGINT) - 2 END AS xs, event_id % 50 AS s, event_id % 50 + 20 AS e, CASE WHEN event_id % 2 = 0 THEN '20M' ELSE '19M1D1M' END AS cigar, CASE WHEN event_id % 7 = 0 THEN 'C' ELSE 'A' END AS base FROM events),
@@ -265,6 +289,16 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN p_partkey || '.Z.0.' || n ELS
 SELECT tag_id, tag_id || ':+:11' AS locus, CAST(11 AS BIGINT) AS snp, substr(s, 9, 1) AS base, CAST(CASE WHEN kind IN (1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS nonfocal_edits, CAST(CASE WHEN kind IN (2, 3) THEN 1 ELSE 0 END AS BIGINT) AS gap_bases, CAST(CASE kind WHEN 2 THEN 3 WHEN 3 THEN 7 END AS BIGINT) AS focal_gap_distance,
  CASE kind WHEN 2 THEN 'GAP_NEAR_FOCAL_SNP' WHEN 4 THEN 'REFERENCE_ALLELE_UNSUPPORTED' WHEN 5 THEN NULL ELSE 'ELIGIBLE_PLACEMENT' END AS reason, CASE WHEN kind = 5 THEN 'EDIT_COUNT_DISAGREES' END AS error FROM s WHERE length(s) >= 20""",
     "stable_ids": "SELECT page_id, substr(sha256(page_id || chr(31) || chr(31) || url), 1, 16) AS stable_id, substr(sha256(url), 1, 20) AS long_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages",
+    "seed_choice": """WITH s AS (SELECT p_partkey, p_size % 30 AS snp, translate(regexp_replace(upper(p_name || p_type || p_name || p_type || p_brand || p_name), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM part),
+g AS (SELECT p_partkey, s, o, substr(s, o + 1, 24) AS w FROM (SELECT *, unnest(range(0, length(s) - 23)) AS o FROM s) WHERE o > snp OR snp >= o + 24),
+c AS (SELECT *, [24 - length(replace(w, 'A', '')), 24 - length(replace(w, 'C', '')), 24 - length(replace(w, 'G', '')), 24 - length(replace(w, 'T', ''))] AS n FROM g),
+e AS (SELECT p_partkey, w, o, s, round(-list_sum(list_transform(n, lambda x: CASE WHEN x > 0 THEN x / 24 * log2(x / 24) ELSE 0 END)), 9) AS entropy, len(list_distinct(list_transform(range(1, 24), lambda i: substr(w, i, 2)))) AS twos FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY entropy DESC, twos DESC, abs(2 * o + 24 - length(s)), o) AS rn FROM e)
+SELECT p.p_partkey, w AS seed, CAST(o AS BIGINT) AS seed_offset FROM part p LEFT JOIN r ON p.p_partkey = r.p_partkey AND rn = 1""",
+    "tag_eligibility": """WITH s AS (SELECT p_partkey, p_partkey % 9 AS k, translate(regexp_replace(upper(p_name || p_type || p_name || p_type || p_brand || p_name), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM part),
+e AS (SELECT *, CASE k WHEN 0 THEN 'UNSUPPORTED_SEQUENCE_OR_VARIATION' WHEN 7 THEN 'UNSUPPORTED_SEQUENCE_OR_VARIATION' WHEN 1 THEN 'UNSUPPORTED_REFERENCE_TAG' WHEN 2 THEN 'FLANK_REFERENCE_TAG_MISMATCH' WHEN 3 THEN 'PRIOR_REFERENCE_KEY_NOT_CONFIRMED' WHEN 4 THEN 'MISSING_REFERENCE_KEY'
+ WHEN 5 THEN 'TAG_TOO_SHORT' WHEN 6 THEN CASE WHEN length(s) < 30 THEN 'TAG_TOO_SHORT' ELSE 'NO_SNP_FREE_SEED' END ELSE CASE WHEN length(s) < 30 THEN 'TAG_TOO_SHORT' WHEN greatest(20, length(s) - 21) < 24 THEN 'NO_SNP_FREE_SEED' ELSE 'ELIGIBLE' END END AS eligibility FROM s)
+SELECT p_partkey, eligibility, CASE WHEN eligibility = 'ELIGIBLE' THEN length(s) END AS tag_length, CASE WHEN eligibility = 'ELIGIBLE' THEN sha256(substr(s, 1, 20) || translate(substr(s, 21, 1), 'ACGT', 'CGTA') || substr(s, 22)) END AS alt_sha256 FROM e WHERE length(s) >= 41""",
     "tag_exact_hits": f"WITH {_HIT} SELECT tag_id, contig_id, start FROM hits",
     "mapping_summary": f"""WITH {_HIT}, n AS (SELECT tag_id, count(*) AS n, min(contig_id) AS c, min(start) AS s FROM hits GROUP BY 1)
 SELECT item_id AS tag_id, coalesce(n, 0) AS n_places, CASE WHEN length(text) < 24 THEN 'TAG_TOO_SHORT' WHEN n IS NULL THEN 'NO_EXACT_FULL_TAG_MATCH' WHEN n > 1 THEN 'MULTIPLE_EXACT_FULL_TAG_PLACEMENTS' ELSE 'UNIQUE_EXACT_PLACEMENT' END AS status, CASE WHEN n = 1 THEN c END AS contig_id, CASE WHEN n = 1 THEN s END AS start FROM benchmark LEFT JOIN n ON item_id = tag_id""",
