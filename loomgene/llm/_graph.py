@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgene.llm._store import materialize
+from loomgene.llm._store import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -8,7 +8,8 @@ vocabulary, a table of fixed size.
 Texts travel once, packed; words travel as the distinct words of a block.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special
-tokens that stand in a text are encoded as such; repeated rows are each encoded; an
+tokens that stand in a text are encoded as such; repeated rows are each encoded; a very long
+text is a block of its own and read whole, its ids decoded in parts; an
 empty table gives an empty result; other columns are kept, those named ids or decoded
 are replaced.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import decode_block, gather_returns, held, release, shuffle_partitions, to_blocks
+from loomgene.llm._store import BLOCK_BYTES, decode_block, gather_returns, held, release, shuffle_partitions, to_blocks
 from loomgene.llm._words import expand, narrow, spread, squeeze
 
 DECODE_IDS = 1 << 17
@@ -116,14 +117,14 @@ def _buckets(distinct: dict[str, int], n: int) -> tuple[list[bytes], np.ndarray,
     return raw, bucket, order
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with ids (unsigned 32-bit little-endian integers, packed) and decoded (the text they stand for)."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         sent = spark.sparkContext.broadcast(file.read())
     n = buckets or shuffle_partitions(spark)
     docs = docs.drop(*[c for c in ("ids", "decoded") if c in docs.columns])
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, block_bytes=block_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(sent.value)

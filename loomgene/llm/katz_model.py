@@ -16,7 +16,8 @@ occur more than K times gets one more count, which is the mass it gives away.
 
 Defined cases: a null text is empty and has the end token only; without training
 documents every token is unknown with probability 1; a null doc_id counts as an empty
-string for the fold; repeated rows are separate documents; an empty table gives an
+string for the fold; repeated rows are separate documents; a very long text is read whole,
+a slice of words at a time unless it alone is longer; equal counts (ties) need no order; an empty table gives an
 empty result; other columns are kept, those of the result's names are replaced.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import answer_and_tell, ask, finish, shuffle_partitions, to_blocks, with_returns, with_told
+from loomgene.llm._store import BLOCK_BYTES, answer_and_tell, ask, finish, shuffle_partitions, to_blocks, with_returns, with_told
 from loomgene.llm._words import Routes, expand, mix, narrow, slices, spread, squeeze
 from loomgene.llm.parse_language import id_crc
 
@@ -122,11 +123,11 @@ class Unigrams:
         return max(HOT_LEAST, self.tokens // HOT_PIECES)
 
 
-def score_texts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs``, which has held_out, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     n = buckets or shuffle_partitions(docs.sparkSession)
     docs = docs.drop(*[c for c in RESULT if c in docs.columns])
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, block_bytes=block_bytes)
 
     def ask_words(_block, rows, _returns):
         tokens = Tokens(rows)

@@ -16,7 +16,7 @@ of them (pigeonhole), so this leaves out none, and a leaf's size doesn't change
 
 Defined cases: a null text has no lines and stays null; lines of fewer than ``min_tokens`` tokens are
 never dropped, nor lines of fewer than ``MIN_TOKENS`` tokens without a letter;
-lines are parted by line feeds; in a leaf, lines are taken by falling document count
+lines are parted by line feeds; very long texts and lines are taken whole; in a leaf, lines are taken by falling document count
 and then by their tokens, so results don't depend on the order of input; rows that share
 a doc_id are one document; null counts as one id, before all others; an empty table
 gives an empty result; other columns are kept, those named n_lines, n_dropped or kept

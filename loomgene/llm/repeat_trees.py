@@ -17,7 +17,8 @@ Words are compared by 64-bit hashes; two windows that differ are taken as equal
 if all their differing words collide at once.
 
 Defined cases: a null text has no words; a text of fewer than ``WINDOW`` words keeps
-all of them; rows that share a doc_id are separate documents, in the order of their
+all of them; a very long text is read whole, in the slices of its block; of equal windows (ties)
+the one of the smallest doc_id, then place, stays; rows that share a doc_id are separate documents, in the order of their
 blocks; a null doc_id comes first; an empty table gives an empty result; other columns
 are kept, those named n_words, n_removed or kept are replaced.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import answer, ask, finish, shuffle_partitions, to_blocks, with_returns
+from loomgene.llm._store import BLOCK_BYTES, answer, ask, finish, shuffle_partitions, to_blocks, with_returns
 from loomgene.llm._words import Routes, expand, mix, narrow, sequences, slices, spread, squeeze
 
 WINDOW = 20
@@ -202,13 +203,13 @@ def split(rows, key, size, left, origin, words, rank, out, window: int, reach: i
         out[late] |= np.uint64(1) << (left[late] - o).astype(np.uint64)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with n_words, n_removed and kept, the words left, joined by one space."""
     if not 0 < prefix <= window <= prefix + 63:
         raise ValueError("the prefix must be shorter than the window")
     n = buckets or shuffle_partitions(docs.sparkSession)
     docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept") if c in docs.columns])
-    blocks = to_blocks(docs)
+    blocks = to_blocks(docs, block_bytes=block_bytes)
 
     def copy_mask(rows: pa.RecordBatch, returns) -> np.ndarray:
         mask = np.zeros(rows.num_rows, bool)

@@ -378,6 +378,69 @@ def test_line_templates(spark, none, twice):
     assert line_templates.drop_recurring(twice).count() == twice.count()
 
 
+def recurring_by_rule(texts, least, similarity=0.75, leading=3, docs=20):
+    """(doc, line number) of lines to drop, by the rules as written down: no hashes, no index, no Spark."""
+    mask = lambda line: " ".join("<*>" if any(c.isdigit() for c in t) else t for t in line.split())
+    having = defaultdict(set)
+    for d, text in texts.items():
+        for line in (text or "").split("\n"):
+            if len(line.split()) >= least:
+                having[mask(line)].add(d)
+    leaves = defaultdict(list)
+    for line in having:
+        tokens = line.split(" ")
+        leaves[len(tokens), *tokens[:leading]].append(line)
+    joined = {}
+    for lines in leaves.values():
+        grown = []
+        for line in sorted(lines, key=lambda x: (-len(having[x]), x)):
+            tokens, best = line.split(" "), None
+            for t in grown:
+                same = sum(a == b != "<*>" for a, b in zip(t["tokens"], tokens))
+                key = (same, -t["tokens"].count("<*>"))
+                if same >= similarity * max(1, sum(x != "<*>" for x in tokens)) and (best is None or key > best[0]):
+                    best = key, t
+            if best is None:
+                best = None, {"tokens": tokens, "docs": set()}
+                grown.append(best[1])
+            t = best[1]
+            t["tokens"] = [a if a == b else "<*>" for a, b in zip(t["tokens"], tokens)]
+            t["docs"] |= having[line]
+            joined[line] = t
+    drop = set()
+    for d, text in texts.items():
+        for k, line in enumerate((text or "").split("\n")):
+            t = joined.get(mask(line))
+            if t is not None and len(line.split()) >= least and len(t["docs"]) >= docs and d != min(t["docs"]):
+                drop.add((d, k))
+    return drop
+
+
+def test_line_templates_equal_brute_force(spark):
+    """Random templates with fields of digits and words, ties in counts, repeated and very long lines."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(12)]
+    shapes = [[rng.choice(words) for _ in range(rng.randrange(4, 10))] for _ in range(25)] + [[rng.choice(words) for _ in range(4_000)]]
+    texts = {}
+    for d in range(90):
+        lines = []
+        for shape in rng.sample(shapes, 9):
+            line = list(shape)
+            for _ in range(rng.randrange(3)):
+                line[rng.randrange(len(line)) if rng.random() < 0.2 else rng.randrange(3, len(line))] = rng.choice([str(rng.randrange(50)), rng.choice(words), "x" + str(d)])
+            lines.append(rng.choice(["", "  "]) + " ".join(line))
+        texts[d] = "\n".join(lines + lines[:1] + ["", "ab"])
+    texts[90], texts[91] = None, ""
+    want = recurring_by_rule(texts, 4)
+    assert 150 < len(want) < sum(len(t.split("\n")) for t in texts.values() if t) - 200
+    docs = spark.createDataFrame([(d, t, "mine", 5) for d, t in texts.items()], "doc_id long, text string, line string, leaf long").repartition(5)
+    for r in line_templates.drop_recurring(docs).collect():
+        text = texts[r["doc_id"]]
+        lines = text.split("\n") if text is not None else []
+        kept = [x for k, x in enumerate(lines) if (r["doc_id"], k) not in want]
+        assert r["kept"] == (None if text is None else "\n".join(kept)) and (r["n_lines"], r["n_dropped"]) == (len(lines), len(lines) - len(kept)) and r["line"] == "mine"
+
+
 def test_leaf_templates_generalise():
     lines = [(k, f"user {name} logged in from host {name}x at noon", 5 - k) for k, name in enumerate(["ann", "bob", "cid"])] + [(9, "user gave up all hope of ever being seen again", 1)]
     found = dict(line_templates.leaf_templates([x for x in lines if x[1].count(" ") == 8]))
