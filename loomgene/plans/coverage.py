@@ -139,9 +139,11 @@ def _draws(spark, sf, reps=REPS):
 
 
 def background_draws(spark, sf):
-    """Per replicate: size and digest of the sorted ids drawn."""
+    """Per replicate: size, mean length and digest of the sorted ids drawn; a draw is as large as the candidates, not as the pool."""
     ids = F.array_join(F.array_sort(F.collect_list(F.col("query_id"))), "\n")
-    return _draws(spark, sf).groupBy("rep", "biotype").agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("ids_sha256"))
+    size = intervals(spark, sf).select("query_id", (F.col("end") - F.col("start") + 1).alias("length"))
+    drawn = _draws(spark, sf).join(size, "query_id")
+    return drawn.groupBy("rep", "biotype").agg(F.count("*").alias("n"), F.round(F.avg("length"), 9).alias("mean_length"), F.sha2(ids, 256).alias("ids_sha256"))
 
 
 def _drawn_counts(spark, sf):
@@ -245,7 +247,7 @@ SELECT resource, arm, query_set, flank_bp, {_SPREAD} FROM n GROUP BY ALL""",
 SELECT query_id, mid, count(*) OVER (PARTITION BY chromosome ORDER BY mid RANGE BETWEEN 250 PRECEDING AND 250 FOLLOWING) - 1 AS n_near FROM m""",
     "strata_bins": f"""WITH {INTERVALS}, l AS (SELECT *, CAST("end" - "start" + 1 AS DOUBLE) AS len FROM intervals), c AS (SELECT biotype, list_distinct(quantile_cont(len, [0.25, 0.5, 0.75])) AS cuts FROM l WHERE NOT candidate GROUP BY 1)
 SELECT query_id, l.biotype, CAST(len(list_filter(cuts, lambda x: x <= len)) AS INTEGER) AS length_bin FROM l JOIN c ON l.biotype = c.biotype""",
-    "background_draws": f"WITH {INTERVALS}, {_GENES} SELECT CAST(rep AS INTEGER) AS rep, biotype, count(*) AS n, sha256(string_agg(CAST(query_id AS VARCHAR), chr(10) ORDER BY query_id)) AS ids_sha256 FROM draws GROUP BY ALL",
+    "background_draws": f'''WITH {INTERVALS}, {_GENES} SELECT CAST(rep AS INTEGER) AS rep, d.biotype, count(*) AS n, round(avg(i."end" - i."start" + 1), 9) AS mean_length, sha256(string_agg(CAST(d.query_id AS VARCHAR), chr(10) ORDER BY d.query_id)) AS ids_sha256 FROM draws d JOIN intervals i ON i.query_id = d.query_id GROUP BY 1, 2''',
     "background_summary": f"{COVERAGE}, {_GENES}, {_DRAWN} SELECT resource, arm, CAST(flank_bp AS BIGINT) AS flank_bp, {_SPREAD} FROM drawn GROUP BY ALL",
     "background_percentile": f"""{COVERAGE}, {_GENES}, {_DRAWN}, o AS (SELECT resource, arm, w AS flank_bp, count(*) FILTER (distance <= w) AS observed FROM dist, (VALUES {_F}) f(w) WHERE arm <> 'B' AND candidate GROUP BY ALL)
 SELECT resource, arm, CAST(flank_bp AS BIGINT) AS flank_bp, observed, round(100 * count(*) FILTER (value < observed) / count(*), 9) AS strict, round(100 * (count(*) FILTER (value < observed) + 0.5 * count(*) FILTER (value = observed)) / count(*), 9) AS midrank,

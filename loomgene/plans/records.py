@@ -211,6 +211,13 @@ def tag_length_summary(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile(n, p).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)], F.min(n).alias("least"), F.max(n).alias("most"))
 
 
+def tag_length_distribution(spark, sf):
+    """Documents per language and length in hundreds of letters, with their share of the language."""
+    rows = table(spark, sf, "documents").groupBy("lang", F.floor(F.length("text") / 100).cast("long").alias("hundreds")).agg(F.count("*").alias("n"))
+    total = rows.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    return rows.join(total, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "hundreds", "n", F.round(F.col("n") / F.col("total"), 9).alias("fraction"))
+
+
 def filter_recovery(spark, sf):
     """Traits as filters: peaks under each, by all events and by its own denominator, and peaks of one filter only."""
     rows = assoc(spark, sf).select("trait", "chromosome", "peak").distinct()
@@ -247,7 +254,7 @@ def scalar_comparisons(spark, sf):
     return a.select("key", S.scalar_comparison(F.col("a"), b).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, seed_choice, tag_eligibility, tag_exact_hits, mapping_summary, reverse_complement, sam_validation, placement_decision, allele_combination, contiguous_groups, tag_length_summary, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
+QUERIES = {f.__name__: f for f in (event_dedup_conflicts, unique_peaks, event_crosswalk, extra_events_anti, interval_states, gene_consolidation, identity_unique_join, key_collisions, set_overlap, key_link_classification, fallback_match, canonical_ids, stable_ids, seed_choice, tag_eligibility, tag_exact_hits, mapping_summary, reverse_complement, sam_validation, placement_decision, allele_combination, contiguous_groups, tag_length_summary, tag_length_distribution, filter_recovery, table_compare, policy_transitions, scalar_comparisons)}
 
 _HITS = """hits AS (SELECT user_id AS tag_id, event_id % 2 AS allele, concat_ws(':', event_id % 3, event_type) AS locus, CAST(-event_id % 31 AS BIGINT) AS score, CASE WHEN event_id % 5 = 0 THEN 'TOO_MANY_NONFOCAL_EDITS' ELSE 'ELIGIBLE_PLACEMENT' END AS reason,
  CASE WHEN event_id % 11 = 0 THEN CAST(-event_id % 31 AS BIGINT) - 2 END AS xs, event_id % 50 AS s, event_id % 50 + 20 AS e, CASE WHEN event_id % 2 = 0 THEN '20M' ELSE '19M1D1M' END AS cigar, CASE WHEN event_id % 7 = 0 THEN 'C' ELSE 'A' END AS base FROM events),
@@ -308,6 +315,7 @@ SELECT item_id AS tag_id, coalesce(n, 0) AS n_places, CASE WHEN length(text) < 2
 SELECT *, status = 'RETAINED_PRIMARY_CHROMOSOME' AS accepted FROM s""",
     "contiguous_groups": """WITH l AS (SELECT conv_id, role, lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, role, count(*) AS n_rows, count(*) FILTER (new) AS n_runs, count(*) FILTER (new) = 1 AS contiguous FROM l GROUP BY 1, 2""",
     "tag_length_summary": "SELECT lang, count(*) AS n, quantile_cont(CAST(length(text) AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS q50, quantile_cont(CAST(length(text) AS DOUBLE), 0.75) AS q75, CAST(min(length(text)) AS DOUBLE) AS least, CAST(max(length(text)) AS DOUBLE) AS most FROM documents GROUP BY 1",
+    "tag_length_distribution": "WITH d AS (SELECT lang, CAST(length(text) // 100 AS BIGINT) AS hundreds, count(*) AS n FROM documents GROUP BY 1, 2) SELECT lang, hundreds, n, round(n / sum(n) OVER (PARTITION BY lang), 9) AS fraction FROM d",
     "filter_recovery": f"WITH {ASSOC}, r AS (SELECT DISTINCT trait, chromosome, peak FROM assoc), h AS (SELECT chromosome, peak, count(*) AS k FROM r GROUP BY 1, 2) SELECT trait, count(*) AS n_peaks, count(*) FILTER (k = 1) AS n_only, round(count(*) / (SELECT count(*) FROM h), 9) AS fraction_all, round(count(*) FILTER (k = 1) / count(*), 9) AS fraction_own FROM r JOIN h USING (chromosome, peak) GROUP BY 1",
     "table_compare": f"""{_POL}, b AS (SELECT coalesce(o.record_key, n.record_key) AS record_key, o.record_key IS NULL AS nl, n.record_key IS NULL AS nr, o.chromosome AS c1, n.chromosome AS c2, o.position AS p1, n.position AS p2, o.kept AS k1, n.kept AS k2 FROM o FULL JOIN n ON o.record_key = n.record_key),
 f AS (SELECT record_key, nl, nr, 'chromosome' AS field, c1 IS NOT DISTINCT FROM c2 AS same FROM b UNION ALL SELECT record_key, nl, nr, 'position', p1 IS NOT DISTINCT FROM p2 FROM b UNION ALL SELECT record_key, nl, nr, 'kept', k1 IS NOT DISTINCT FROM k2 FROM b)

@@ -82,3 +82,14 @@ def test_sinks(spark, tmp_path):
     assert list(sinks.manifest(str(folder))) == ["a"] and sinks.verify_manifest(str(folder)) == []
     (folder / "a").write_text("2")
     assert sinks.verify_manifest(str(folder)) == ["a"]
+
+
+def test_workbooks_are_whole_or_absent(spark, tmp_path):
+    path = tmp_path / "x.xlsx"
+    with pytest.raises(ValueError, match="control character"):
+        sinks.write_workbook(str(path), {"a": spark.createDataFrame([("fine",), ("bad\x01",)], "t string").coalesce(1)})
+    assert not list(tmp_path.iterdir())
+    sinks.write_workbook(str(path), {"a": spark.createDataFrame([("line\nand\ttab",)], "t string")})
+    with pytest.raises(FileExistsError):
+        sinks.write_workbook(str(path), {})
+    assert [p.name for p in tmp_path.iterdir()] == ["x.xlsx"]
