@@ -47,8 +47,9 @@ def nearest_each(queries: DataFrame, points: DataFrame, keys: list[str], label:
     at = points.groupBy(*keys, pos).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), label)).alias("__m"))
     q = queries.select(*keys, slot(start).alias("__b"), F.col(start).alias("__at"), F.lit(-1).alias("__kind"), F.struct(*queries.columns).alias("__q"), F.lit(None).cast("long").alias("__m"))
     p = at.select(*keys, slot(pos).alias("__b"), F.col(pos).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), "__m")
-    both = q.unionByName(p)
     inside, labels = [*keys, "__b"], range(n_labels)
+    # Rows without a place meet nothing below; left out here, both uses of ``both`` read the same exchange of positions.
+    both = q.unionByName(p).dropna(subset=inside)
     own = lambda i: F.when(F.col("__m").bitwiseAND(F.lit(1 << i)) != 0, F.col("__at"))
     up = W.partitionBy(*inside).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, -1)
     down = W.partitionBy(*inside).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, -1)
@@ -73,13 +74,23 @@ def window_counts(distances: DataFrame, by: list[str], windows: list[int]) -> Da
 
 
 def range_neighbours(rows: DataFrame, key: str, pos: str, radius: int, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Other rows within ``radius`` on either side: a RANGE frame per key and position bucket, to which rows near its edges are lent."""
-    width = max(bucket, 2 * radius)
+    """Other rows within ``radius`` on either side, as ``name``."""
+    return range_neighbours_each(rows, key, pos, {name: radius}, bucket)
+
+
+def range_neighbours_each(rows: DataFrame, key: str, pos: str, radii: dict[str, int], bucket: int = BUCKET) -> DataFrame:
+    """Other rows within each radius on either side of a whole-numbered position, a column per name.
+
+    One exchange and sort for all radii: windows per key and position bucket, to which rows near its edges are lent. A count is
+    what lies up to the right edge less what lies before the left one; both frames only grow, so dense positions cost no more than others.
+    """
+    most = max(radii.values())
+    width = max(bucket, 2 * most)
     own = F.floor(F.col(pos) / width)
-    spots = F.array_distinct(F.array(own, F.floor((F.col(pos) - radius) / width), F.floor((F.col(pos) + radius) / width)))
+    spots = F.array_distinct(F.array(own, F.floor((F.col(pos) - most) / width), F.floor((F.col(pos) + most) / width)))
     lent = rows.withColumn("__own", own).withColumn("__b", F.explode(spots))
-    frame = W.partitionBy(key, "__b").orderBy(pos).rangeBetween(-radius, radius)
-    return lent.withColumn(name, F.count("*").over(frame) - 1).filter(F.col("__b") == F.col("__own")).drop("__own", "__b")
+    up_to = lambda d: F.count("*").over(W.partitionBy(key, "__b").orderBy(pos).rangeBetween(W.unboundedPreceding, d))
+    return lent.withColumns({name: up_to(r) - up_to(-r - 1) - 1 for name, r in radii.items()}).filter(F.col("__b") == F.col("__own")).drop("__own", "__b")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, key: str, width: int, left_pos: str, right_pos: str) -> DataFrame:

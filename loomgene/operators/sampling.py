@@ -13,6 +13,11 @@ def hash_order(seed: int, label: Column | str, rep: str, ident: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), name, F.col(rep), F.col(ident)), 256)
 
 
+def hash_below(share: Column) -> Column:
+    """The limit below which a ``share`` of all hashes of ``hash_order`` lies; from 1 on, above every one of them."""
+    return F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(F.greatest(share, F.lit(0.0)) * 2.0**52).cast("long"))), 13, "0"))
+
+
 def replicate(rows: DataFrame, reps: int, name: str = "rep") -> DataFrame:
     return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
 
