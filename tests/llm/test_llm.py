@@ -741,6 +741,26 @@ def test_pipeline(spark, data):
     assert left.filter("doc_id <> component_id").count() == 0 and edit_leaks.find_leaks(at, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
 
 
+def test_stages_take_small_batches_and_results_do_not_depend_on_them(spark, data):
+    """By default a whole partition went to a worker at once, and filled an executor with its copies."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    key = corpus_pipeline.BATCH_KEY
+    before = spark.conf.get(key, None)
+    sizes = lambda: [r[0] for r in spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 10000) as x").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    try:
+        spark.conf.unset(key)
+        assert max(sizes()) > 30 << 20
+        want = plain(corpus_pipeline.run(spark, data))
+        assert max(sizes()) < corpus_pipeline.BATCH_BYTES + 200_000
+        spark.conf.set(key, "60000")
+        assert plain(corpus_pipeline.run(spark, data)) == want and len(want) > 50 and spark.conf.get(key) == "60000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 AWKWARD = "doc_id long, text string, lang string, score double, held_out boolean, lang_pred string, foreign double, kept string, n_lines long, n_dropped long, n_leaks long, __leaks string, component_id string, n_chars int"
 
 
