@@ -8,7 +8,8 @@ documents recurs: its lines are dropped from all documents but the first (the on
 smallest doc_id). Shorter lines, where the queries let them take part, recur if they are
 equal token by token, digits included, in as many documents.
 
-Equal lines are counted before they meet in a leaf, so the share of a line in the
+Digests of all lines tell which leaves have enough documents; only the lines of those are
+sent, found again in the texts by a bitmap of leaves. Equal lines are counted before they meet in a leaf, so the share of a line in the
 corpus doesn't matter there. A leaf's lines come sorted, a batch at a time; only its
 templates are held. Where they are many, a line is compared with those that share one of
 its rarest tokens: to agree in 75 % of f tokens a template must have one of any f // 4 + 1
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgene.llm._store import Tidy, materialize
+from loomgene.llm._store import Tidy, discard, materialize
 
 MIN_TOKENS = 4
 LEADING = 3
@@ -44,6 +45,9 @@ SIMILARITY = 0.75
 MIN_DOCS = 20
 #: Templates that a leaf compares one by one; of the others blocks of this size or more are indexed. Results don't depend on it.
 PLAIN = 256
+#: Bits of the map of leaves whose lines are sent, by the first bits of their digests, in pieces of 2^15. A full map lets all lines through; results don't depend on it.
+MAP_BITS = 25
+PIECE_BITS = 15
 FIELD = "<*>"
 _DIGIT = regex.compile(r"\S*[0-9]\S*")
 _NO_ID = -(2**63)
@@ -86,32 +90,61 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
+def _leaf(plain: str) -> int:
+    return _digest("\x1f".join([str(plain.count(" ")), *plain.split(" ", LEADING)[:LEADING]]))
+
+
 def occurrences(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc, line): each masked line of a document once."""
+    """(doc, line, leaf): each masked line of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, _digest(x)) for doc, text in _texts(batch, 0, 1) for x in _document_lines(text, min_tokens)]
+            rows = [(doc, _digest(x), _leaf(x)) for doc, text in _texts(batch, 0, 1) for x in _document_lines(text, min_tokens)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "line", "leaf"])
+
+    return _keyed(docs).mapInArrow(Tidy(run), "doc long, line long, leaf long")
+
+
+def _place(leaf: int) -> int:
+    return (leaf + 2**63) >> (64 - MAP_BITS)
 
-    return _keyed(docs).mapInArrow(Tidy(run), "doc long, line long")
 
+def leaf_map(leaves: DataFrame) -> bytes:
+    """A bit for each place that a leaf (leaf) falls on, made in pieces by the executors; of fixed size, whatever the number of leaves."""
+    size = 1 << PIECE_BITS
+    at = F.shiftrightunsigned("leaf", 64 - MAP_BITS).bitwiseXOR(F.lit(1 << (MAP_BITS - 1)))
 
-def distinct_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(leaf, line, masked, docs): each masked line of the corpus, with its number of documents.
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, np.uint8)
+        bits[table.column("at").to_numpy() % size] = 1
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    A document that comes as several rows counts for each here, which only lets more leaves through.
+    places = leaves.select(at.alias("at")).distinct().select(F.shiftright("at", PIECE_BITS).alias("piece"), "at")
+    out = bytearray(1 << (MAP_BITS - 3))
+    for r in places.groupBy("piece").applyInArrow(fill, "piece long, bits binary").collect():
+        out[r["piece"] * size // 8 : (r["piece"] + 1) * size // 8] = r["bits"]
+    return bytes(out)
+
+
+def distinct_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, leaves: bytes | None = None) -> DataFrame:
+    """(leaf, line, masked, docs): each masked line of the corpus, with its number of documents; with a ``leaf_map`` only lines whose leaf may be in it.
+
+    A document that comes as several rows counts for each here, which only lets more leaves through. Leaves of too few documents only cost time.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for (text,) in _texts(batch, 1):
                 for plain in _document_lines(text, min_tokens):
-                    head = [str(plain.count(" ")), *plain.split(" ", LEADING)[:LEADING]]
-                    rows.append((_digest(plain), _digest("\x1f".join(head)), plain))
+                    leaf = _leaf(plain)
+                    if held is not None and not held[(at := _place(leaf)) >> 3] >> (at & 7) & 1:
+                        continue
+                    rows.append((_digest(plain), leaf, plain))
                     size += len(plain)
                 if size > 1 << 20:
                     yield _lines(rows)
@@ -199,10 +232,10 @@ def leaf_templates(lines: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
 
 
 def templates_of(lines: DataFrame) -> DataFrame:
-    """(line, template) of the distinct lines (line, leaf, masked, docs) whose leaf has enough documents."""
-    leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).filter(F.col("leaf_docs") >= MIN_DOCS)
-    rows = lines.join(leaves, "leaf")
-    alone = rows.filter("leaf_lines = 1").select("line", F.col("line").alias("template"))
+    """(line, template) of the distinct lines (line, leaf, masked, docs).
+
+    No join on the leaf may stand below the exchange: Spark would take the exchange out, and adaptive execution then parts a leaf's lines.
+    """
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, grown = None, {}
@@ -218,9 +251,9 @@ def templates_of(lines: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["line", "template"])
 
-    shared = rows.filter("leaf_lines > 1").select("leaf", "line", "masked", "docs").repartition("leaf")
-    shared = shared.sortWithinPartitions("leaf", F.desc("docs"), "masked").select("leaf", "line", "masked")
-    return alone.unionByName(shared.mapInArrow(Tidy(grow), "line long, template long"))
+    rows = lines.select("leaf", "line", "masked", "docs").repartition("leaf")
+    rows = rows.sortWithinPartitions("leaf", F.desc("docs"), "masked").select("leaf", "line", "masked")
+    return rows.mapInArrow(Tidy(grow), "line long, template long")
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -229,8 +262,13 @@ def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     What recurs is written before the join, so that both of its sides are plain exchanges: a template that is in a large
     share of the documents can then be split by adaptive execution, or its short table broadcast if that is small.
     """
-    named = materialize(templates_of(materialize(distinct_lines(docs, min_tokens), "lines")), "templates")
-    uses = materialize(occurrences(docs, min_tokens).join(named, "line").select("doc", "line", "template"), "uses")
+    found = materialize(occurrences(docs, min_tokens), "occurrences")
+    leaves = leaf_map(found.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"))
+    lines = materialize(distinct_lines(docs, min_tokens, leaves), "lines")
+    named = materialize(templates_of(lines), "templates")
+    uses = materialize(found.join(named, "line").select("doc", "line", "template"), "uses")
+    for table in (found, lines, named):
+        discard(table)
     counts = uses.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     recurring = materialize(counts.filter(F.col("n") >= MIN_DOCS).select("template", "first"), "recurring")
     return uses.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("doc", "line")
